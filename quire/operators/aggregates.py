@@ -156,8 +156,8 @@ def top_n_plus_others(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     The top n come from a top-k over the counts and are joined back: no window over all groups.
     """
     counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
-    top = counts.orderBy(F.desc("_n"), "_key").limit(n).select("_key", F.lit(True).alias("_top"))
-    merged = counts.join(top, counts["_key"].eqNullSafe(top["_key"]), "left").select(counts["_key"], "_n", "_top")
+    top = counts.orderBy(F.desc("_n"), "_key").limit(n).select(F.col("_key").alias("_top_key"), F.lit(True).alias("_top"))
+    merged = counts.join(top, F.col("_key").eqNullSafe(F.col("_top_key")), "left")
     name = F.when(F.col("_top"), F.col("_key").cast("string")).otherwise(F.lit("Others"))
     return merged.groupBy(name.alias(key)).agg(F.sum("_n").alias("n"))
 

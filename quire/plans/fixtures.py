@@ -92,8 +92,9 @@ def person_names(spark: SparkSession, sf: str) -> DataFrame:
     """``id, name``: customers with life dates from their orders, in the forms catalogues use."""
     years = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.min(F.year("o_orderdate")).alias("y0"), F.max(F.year("o_orderdate")).alias("y1"))
-    surname = F.concat(F.initcap(F.lower("c_mktsegment")), F.col("c_nationkey").cast("string"))
-    forename = F.when(F.col("c_acctbal") < 0, F.substring("r_name", 1, 1)).otherwise(F.initcap(F.lower("r_name")))
+    title = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.expr(f"substring({c}, 2)")))
+    surname = F.concat(title("c_mktsegment"), F.col("c_nationkey").cast("string"))
+    forename = F.when(F.col("c_acctbal") < 0, F.substring("r_name", 1, 1)).otherwise(title("r_name"))
     dates = (F.when(F.col("c_acctbal") > 6000, F.concat(F.lit(", "), "y0", F.lit("-"), "y1", F.lit(".")))
              .when(F.col("c_acctbal") > 3000, F.concat(F.lit(", b. "), "y0"))
              .when(F.col("c_acctbal") > 1000, F.concat(F.lit(", "), "y0", F.lit("-"))).otherwise(F.lit("")))
