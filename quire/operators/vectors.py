@@ -27,16 +27,18 @@ DECIMALS = 12          # scores are compared at this precision, so summation ord
 
 
 def embed_text(df: DataFrame, id: str, text: str, embedder: Callable[[], Callable[[list[str]], list]] | None = None,
-               batch: int = 32, dim: int = 256, out: str = "embedding") -> DataFrame:
+               batch: int = 32, dim: int = 256, idf: bool = True, out: str = "embedding") -> DataFrame:
     """Adds a vector per text.
 
     ``embedder`` is a factory called once per task; what it returns maps a list of at most ``batch``
-    texts to as many vectors. Without one: hashed term counts, weighted by IDF, unit length.
+    texts to as many vectors. Without one: hashed term counts, weighted by IDF (unless ``idf`` is
+    off, which makes a vector independent of the other rows), unit length.
     """
     if embedder is None:
         toks = df.withColumn("_tokens", X.tokens(F.coalesce(text, F.lit("")), 1))
-        stages = Pipeline(stages=[HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
-                                  IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_v")])
+        weigh = [IDF(inputCol="_tf", outputCol="_idf")] if idf else []
+        stages = Pipeline(stages=[HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim), *weigh,
+                                  Normalizer(inputCol="_idf" if idf else "_tf", outputCol="_v")])
         return stages.fit(toks).transform(toks).select(*df.columns, vector_to_array("_v", "float32").alias(out))
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])

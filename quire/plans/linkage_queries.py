@@ -146,8 +146,8 @@ def cluster_pairs(spark, sf):
 @query("cluster_refine")
 def cluster_refine(spark, sf):
     from quire.runtime import durable
-    scored = durable(_scored(spark, sf).select("id_l", "id_r", "score"), "scored")
-    return refine(scored, cluster(scored), 0.4)
+    pairs = durable(_pairs(spark, sf, _records(spark, sf)), "pairs")
+    return refine(pairs, cluster(pairs, 0.85, score="similarity"), 0.85, score="similarity")
 
 
 _TIGHT_SQL = f"""{_PAIRS_SQL}, {_components_sql("SELECT id_l AS a, id_r AS b FROM kept WHERE similarity >= 0.85 UNION ALL SELECT id_r, id_l FROM kept WHERE similarity >= 0.85")}"""

@@ -1 +1,51 @@
+"""2.13 Streaming: the incremental jobs, checked against their batch result."""
 
+from pyspark.sql import functions as F
+
+from quire.plans.registry import query, table
+from quire.runtime import scratch_path
+from quire.streaming import ingest as S
+
+
+def _event_files(spark, sf):
+    """The whole event table as three sets of files, written one after the other in event order."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [lo + (hi - lo + 1) * i // 3 for i in range(4)]
+    path = scratch_path(spark, "events")
+    for a, b in zip(cuts, cuts[1:]):
+        e.where((F.col("event_id") >= a) & (F.col("event_id") < b)).write.mode("append").parquet(path)
+    return path, e.schema
+
+
+@query("stream_file_ingest", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_file_ingest(spark, sf):
+    path, schema = _event_files(spark, sf)
+    return S.stream_file_ingest(spark, path, schema, scratch_path(spark, "out"), scratch_path(spark, "checkpoint"))
+
+
+@query("stream_first_wins", """
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1""")
+def stream_first_wins(spark, sf):
+    path, schema = _event_files(spark, sf)
+    stream = S.open_stream(spark, path, schema, 1)
+    out = S.stream_first_wins(stream, ["user_id"], ["event_id"], scratch_path(spark, "out"), scratch_path(spark, "checkpoint"))
+    return out.select("user_id", "event_id", "event_type")
+
+
+@query("stream_label_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_label_counts(spark, sf):
+    path, schema = _event_files(spark, sf)
+    counts = S.stream_label_counts(S.open_stream(spark, path, schema, 1), "event_type")
+    return S.run_counts(counts, scratch_path(spark, "out"), scratch_path(spark, "checkpoint"))
+
+
+@query("stream_index_sink")
+def stream_index_sink(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.when(F.col("role") != "system", F.col("text")).alias("text"))
+    path = scratch_path(spark, "turns")
+    c.write.parquet(path)
+    out = S.stream_index_sink(S.open_stream(spark, path, c.schema, 2), scratch_path(spark, "out"), scratch_path(spark, "checkpoint"))
+    return out.select("es_doc_id", F.size("vector").alias("dim"), "error")
