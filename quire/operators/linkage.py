@@ -20,7 +20,7 @@ from quire.operators.components import cluster_pairs, cluster_refine
 from quire.operators.joins import double_lookup, right_outer_ifnull
 from quire.operators.nested import nest_children
 from quire.operators.setops import first_per_key, union_all
-from quire.operators.similarity import block_pairs, prefix_length, rare_first
+from quire.operators.similarity import _meet, block_pairs, prefix_length, rare_first
 from quire.operators.windows import global_index
 from quire.runtime import durable
 
@@ -294,12 +294,8 @@ def near_dup_pairs(df: DataFrame, id: str, text: str, shingle: int = 5, threshol
     prefix = ordered.select("id", F.size("ordered").alias("n"), F.slice(F.arrays_zip("ordered", "freqs"), F.lit(1), F.col("p")).alias("z"))
     posts = prefix.select("id", "n", F.explode(F.filter("z", lambda x: x["freqs"] > 1)).alias("x")).select("id", "n", F.col("x.ordered").alias("t"))
     posts = durable(posts, "postings")
-    a = posts.select("t", F.col("id").alias("id_l"), F.col("n").alias("n_l"))
-    b = posts.select("t", F.col("id").alias("id_r"), F.col("n").alias("n_r"))
+    met = _meet(posts, ["t"], threshold).distinct()
     eps = F.lit(1e-9)
-    met = (a.join(b, "t").where((F.col("id_l") < F.col("id_r"))
-                                & (F.least("n_l", "n_r") >= F.greatest("n_l", "n_r") * F.lit(threshold) - eps))
-           .select("id_l", "id_r").distinct())
     both = (met.join(units.select(F.col("id").alias("id_l"), F.col("s").alias("s_l")), "id_l")
             .join(units.select(F.col("id").alias("id_r"), F.col("s").alias("s_r")), "id_r"))
     near = (both.select("id_l", "id_r", X.jaccard("s_l", "s_r").alias("similarity"))

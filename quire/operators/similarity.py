@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,36 +30,46 @@ def rare_first(sets: DataFrame, id: str, members: str) -> DataFrame:
                          F.transform("_a", lambda x: x["f"]).alias("freqs"))
 
 
-def block_pairs(records: DataFrame, threshold: float) -> DataFrame:
+def block_pairs(records: DataFrame, threshold: float, small_block: int = 100) -> DataFrame:
     """(id_l, id_r, similarity) for records sharing a block key with token Jaccard >= ``threshold`` > 0.
 
     ``records`` has ``id``, ``keys`` (array) and ``tokens`` (array). Exact copies (same keys and
     tokens) are paired with their smallest id only, and only that one meets other records, so a
-    group of copies costs one row each. Others meet on (key, rare token): by the prefix principle
-    no qualifying pair is missed, and a block that holds a third of the table is never enumerated.
+    group of copies costs one row each. In a block of at most ``small_block`` records the records
+    meet on the key. In a larger one they meet on (key, rare token): by the prefix principle no
+    qualifying pair is missed, and a block that holds a third of the table is never enumerated.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     sets = durable(records.select("id", F.sort_array(F.array_distinct("keys")).alias("keys"),
                                   F.sort_array(F.array_distinct("tokens")).alias("tokens"))
                    .where((F.size("tokens") > 0) & (F.size("keys") > 0)), "pair-sets")
-    reps = sets.groupBy("keys", "tokens").agg(F.min("id").alias("rep"))
-    copies = (sets.join(reps, ["keys", "tokens"]).where("id > rep")
+    reps = durable(sets.groupBy("keys", "tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "units")
+    copies = (sets.join(reps.where("copies > 1").withColumnRenamed("id", "rep"), ["keys", "tokens"]).where("id > rep")
               .select(F.col("rep").alias("id_l"), F.col("id").alias("id_r"), F.lit(1.0).alias("similarity")))
 
-    units = reps.select(F.col("rep").alias("id"), "keys", "tokens")
-    ordered = rare_first(units, "id", "tokens").select("id", F.slice(
-        "ordered", F.lit(1), prefix_length(F.size("ordered"), threshold)).alias("prefix"))
-    postings = durable(units.join(ordered, "id").select("id", "keys", "tokens", "prefix", F.size("tokens").alias("n")), "postings")
-    spread = postings.withColumn("_k", F.explode("keys")).withColumn("_t", F.explode("prefix"))
-    left = spread.select(F.col("_k"), F.col("_t"), *[F.col(c).alias(c + "_l") for c in ("id", "keys", "tokens", "prefix", "n")])
-    right = spread.select(F.col("_k"), F.col("_t"), *[F.col(c).alias(c + "_r") for c in ("id", "keys", "tokens", "prefix", "n")])
-    met = left.join(right, ["_k", "_t"]).where(
-        (F.col("id_l") < F.col("id_r"))
-        & (F.least("n_l", "n_r") >= F.greatest("n_l", "n_r") * F.lit(threshold) - F.lit(1e-9))
-        # each pair is emitted only where its first shared key and first shared rare token meet
-        & (F.get(F.array_intersect("keys_l", "keys_r"), F.lit(0)) == F.col("_k"))
-        & (F.get(F.array_intersect("prefix_l", "prefix_r"), F.lit(0)) == F.col("_t")))
-    pairs = (met.withColumn("similarity", jaccard("tokens_l", "tokens_r"))
+    units = reps.select("id", "keys", "tokens", F.size("tokens").alias("n"))
+    keyed = units.select("id", "n", F.explode("keys").alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
+    placed = durable(keyed.join(sizes, "k").select("k", "id", "n", (F.col("size") > small_block).alias("hot")), "blocks")
+    hot = placed.where("hot")
+    meet = [_meet(placed.where("NOT hot"), ["k"], threshold)]
+    if not hot.isEmpty():
+        ordered = rare_first(units.join(hot.select("id").distinct(), "id", "left_semi"), "id", "tokens")
+        prefix = ordered.select("id", F.explode(F.slice("ordered", F.lit(1), prefix_length(F.size("ordered"), threshold))).alias("t"))
+        meet.append(_meet(durable(hot.join(prefix, "id"), "postings"), ["k", "t"], threshold))
+    met = reduce(DataFrame.unionByName, meet).distinct()
+    tokens = units.select("id", "tokens")
+    both = (met.join(tokens.select(F.col("id").alias("id_l"), F.col("tokens").alias("tokens_l")), "id_l")
+            .join(tokens.select(F.col("id").alias("id_r"), F.col("tokens").alias("tokens_r")), "id_r"))
+    pairs = (both.withColumn("similarity", jaccard("tokens_l", "tokens_r"))
              .where(F.col("similarity") >= F.lit(threshold) - F.lit(1e-9)).select("id_l", "id_r", "similarity"))
     return pairs.unionByName(copies)
+
+
+def _meet(posts: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(id_l, id_r) of records in the same posting whose sizes allow the threshold."""
+    left = posts.select(*on, F.col("id").alias("id_l"), F.col("n").alias("n_l"))
+    right = posts.select(*on, F.col("id").alias("id_r"), F.col("n").alias("n_r"))
+    fits = F.least("n_l", "n_r") >= F.greatest("n_l", "n_r") * F.lit(threshold) - F.lit(1e-9)
+    return left.join(right, on).where((F.col("id_l") < F.col("id_r")) & fits).select("id_l", "id_r")

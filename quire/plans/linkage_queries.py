@@ -8,7 +8,7 @@ from quire.operators.setops import first_per_key
 from quire.operators.vectors import centroids, knn_exact
 from quire.functions.vectors import l2_normalize
 from quire.plans.fixtures import LABELS_SQL, PERSON_NAMES_SQL, labels_combined, person_names
-from quire.plans.registry import query, table
+from quire.plans.registry import query, table, texts
 
 RECORDS_SQL = f"""{LABELS_SQL}, recs AS (SELECT idx, label, coalesce(id, 'null' || lpad(CAST(idx - (SELECT count(*) FROM (SELECT DISTINCT label, id, type FROM labels_combined) WHERE id IS NOT NULL) AS VARCHAR), 5, '0')) AS id, type
   FROM (SELECT *, row_number() OVER (ORDER BY id, label, type) - 1 AS idx FROM (SELECT DISTINCT label, id, type FROM labels_combined)))"""
@@ -283,4 +283,4 @@ near AS (SELECT x, y, c::DOUBLE / (p.n + q.n - c) AS similarity FROM ov JOIN sz
 @query("near_dup_docs", f"""WITH RECURSIVE {_SHINGLES_SQL}, {_components_sql("SELECT x AS a, y AS b, similarity FROM near UNION ALL SELECT y, x, similarity FROM near")},
 best AS (SELECT a AS id, max(similarity) AS prob FROM e GROUP BY 1) SELECT comp.id, canon_id, round(prob, 6) AS prob FROM comp JOIN best ON comp.id = best.id""")
 def near_dup_docs(spark, sf):
-    return L.near_dup_docs(table(spark, sf, "documents"), "doc_id", "text").withColumn("prob", F.round("prob", 6))
+    return L.near_dup_docs(texts(spark, sf, "doc_id", "text"), "doc_id", "text").withColumn("prob", F.round("prob", 6))

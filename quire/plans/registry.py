@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.runtime import spread
+
 
 @dataclass(frozen=True)
 class Query:
@@ -29,3 +31,8 @@ def query(key: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Columns of ``documents`` for costly per-row work, over all cores even from one small file."""
+    return spread(table(spark, sf_dir, "documents").select(*cols), "doc_id")

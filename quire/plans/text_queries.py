@@ -9,11 +9,11 @@ from quire.operators.aggregates import group_top_values, value_counts
 from quire.operators.chunking import chunk_fixed as fixed, chunk_recursive as recursive
 from quire.plans.fixtures import person_names, PERSON_NAMES_SQL, works
 from quire.plans.nested_queries import WORKS_TEXT_SQL
-from quire.plans.registry import query, table
+from quire.plans.registry import query, table, texts
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "doc_id", "text", "lang", "source")
 
 
 def _terms(spark, sf):

@@ -6,14 +6,14 @@ from quire.functions.vectors import dot_product as dot, l2_normalize as unit
 from quire.operators import vectors as V
 from quire.plans.fixtures import works
 from quire.plans.linkage_queries import HITS_SQL, label_queries, vector_corpus
-from quire.plans.registry import query, table
+from quire.plans.registry import query, table, texts
 
 _RANKS = lambda df: df.select("query_id", "corpus_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("embed_text")
 def embed_text(spark, sf):
-    out = V.embed_text(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = V.embed_text(texts(spark, sf, "doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(dot("embedding", "embedding"), 3).alias("norm2"))
 
 
@@ -79,7 +79,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 def _bm25(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.bm25_search(q, table(spark, sf, "documents"), 10)
+    return V.bm25_search(q, texts(spark, sf, "doc_id", "text"), 10)
 
 
 @query("bm25_search", f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
@@ -96,7 +96,7 @@ def hybrid_rrf(spark, sf):
     from pyspark.sql import Window
     from quire.functions import text as X
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
     overlap = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("ov"))
     w = Window.partitionBy("query_id").orderBy(F.desc("ov"), "doc_id")
     second = overlap.withColumn("rank", F.row_number().over(w)).where("rank <= 10")

@@ -38,3 +38,14 @@ def take_bounded(df: DataFrame, max_rows: int) -> list | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores when its scan has fewer splits than there are cores, else unchanged.
+
+    Costly per-row work (tokenising, models) on a small file would otherwise run in a task or two.
+    On large inputs the scan has far more splits than cores and no shuffle is added. ``key`` should
+    be unique; hashing it keeps a retried task's rows the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
