@@ -112,8 +112,8 @@ def _score_blocks(queries: DataFrame, corpus: DataFrame, keep, columns: list[str
     queries = durable(queries, "queries")
     n_q = queries.count() // max_queries + 1
     n_c = corpus.count() // BLOCK_ROWS + 1
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).cast("long"))
-    c = corpus.withColumn("_c", F.pmod(F.xxhash64("corpus_id"), F.lit(n_c))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+    c = corpus.withColumn("_c", F.pmod(F.xxhash64("corpus_id"), F.lit(n_c))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
     def in_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
