@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from quire.constants import SINGLE_YEAR_PATTERN
 from quire.functions import text as X
 from quire.operators.aggregates import exact_quantiles
-from quire.operators.components import cluster_pairs, cluster_refine
+from quire.operators.components import cluster_pairs, cluster_refine, connected_components
 from quire.operators.joins import double_lookup, right_outer_ifnull
 from quire.operators.nested import nest_children
 from quire.operators.setops import first_per_key, union_all
@@ -273,36 +273,50 @@ def exact_dup_docs(df: DataFrame, id: str, text: str) -> DataFrame:
             .where(F.col("n") > 1))
 
 
-def near_dup_pairs(df: DataFrame, id: str, text: str, shingle: int = 5, threshold: float = 0.8,
+def near_dup_links(df: DataFrame, id: str, text: str, shingle: int = 5, threshold: float = 0.8,
                    words: Callable[[str], Column] = lambda c: X.tokens(c, 1)) -> DataFrame:
-    """(id_l, id_r, similarity): texts whose sets of ``shingle``-word runs have Jaccard >= ``threshold``.
+    """(id_l, id_r): links between texts whose sets of ``shingle``-word runs have Jaccard >= ``threshold``.
 
-    Texts with the same set of runs (exact copies among them) are tied to their smallest id, and only that one is compared further. The rest meet
-    on their rare runs only (prefix principle), with whole texts and no cap on a run's frequency.
+    The links connect exactly the texts that all qualifying pairs would connect, but a large group
+    of copies is a star instead of all its pairs:
+
+    1. Texts with the same set of runs are tied to their smallest id, which goes on for them.
+    2. Of the texts left that share the same core (the runs some other text has too), the one with
+       the fewest runs of its own is at least as similar to any text as each of the others is. Those
+       that qualify with it are tied to it and need no further comparison.
+    3. The rest meet on their rare runs (prefix principle), over whole texts and without a cap.
     """
     w = words(text)
     runs = F.when(F.size(w) >= shingle, X.ngram_array(w, shingle)).otherwise(F.array(F.array_join(w, " ")))
     hashed = F.sort_array(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))))
-    sets = durable(df.where(F.size(w) > 0).select(F.col(id).alias("id"), hashed.alias("s"))
-                   .withColumn("h", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)), "shingles")
-    reps = durable(sets.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "groups")
-    copies = (sets.join(reps.where("n > 1"), "h").where("id > rep")
-              .select(F.col("rep").alias("id_l"), F.col("id").alias("id_r"), F.lit(1.0).alias("similarity")))
-    units = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s", F.size("s").alias("n"))
-    # runs that occur in one text only can start no pair, but they count towards the prefix
-    ordered = rare_first(units, "id", "s").withColumn("p", prefix_length(F.size("ordered"), threshold))
-    prefix = ordered.select("id", F.size("ordered").alias("n"), F.slice(F.arrays_zip("ordered", "freqs"), F.lit(1), F.col("p")).alias("z"))
-    posts = prefix.select("id", "n", F.explode(F.filter("z", lambda x: x["freqs"] > 1)).alias("x")).select("id", "n", F.col("x.ordered").alias("t"))
-    posts = durable(posts, "postings")
-    met = _meet(posts, ["t"], threshold).distinct()
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+    sets = durable(df.where(F.size(w) > 0).select(F.col(id).alias("id"), hashed.alias("s")).withColumn("h", digest("s")), "shingles")
+    firsts = durable(sets.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
+    copies = sets.join(firsts.where("n > 1"), "h").where("id > rep").select(F.col("rep").alias("id_l"), F.col("id").alias("id_r"))
+
+    units = sets.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s")
     eps = F.lit(1e-9)
+    ranked = rare_first(units, "id", "s").withColumn("n", F.size("ordered"))
+    own = F.size(F.filter("freqs", lambda f: f == 0))
+    # ``ordered`` begins with the text's own runs (frequency 0); what follows is its core
+    ranked = ranked.withColumn("own", own).withColumn("core", F.sort_array(F.expr("slice(ordered, own + 1, n)"))).where("own < n")
+    ranked = durable(ranked.withColumn("h", digest("core")).drop("core", "freqs"), "ranked")
+    leads = ranked.groupBy("h").agg(F.min_by("id", F.struct("own", "id")).alias("lead"), F.min("own").alias("lead_own"))
+    close = (F.col("n") - F.col("own")) / (F.col("n") + F.col("lead_own"))
+    judged = ranked.join(leads, "h").withColumn("tied", (F.col("id") != F.col("lead")) & (close >= F.lit(threshold) - eps))
+    judged = durable(judged.select("id", "n", "own", "ordered", "lead", "tied"), "judged")
+    same_core = judged.where("tied").select(F.col("lead").alias("id_l"), F.col("id").alias("id_r"))
+
+    # a text's own runs take up places of the prefix but can meet nobody
+    left = judged.where("NOT tied").withColumn("p", prefix_length(F.col("n"), threshold))
+    posts = durable(left.where("p > own").select("id", "n", F.explode(F.expr("slice(ordered, own + 1, p - own)")).alias("t")), "postings")
+    met = _meet(posts, ["t"], threshold).distinct()
     both = (met.join(units.select(F.col("id").alias("id_l"), F.col("s").alias("s_l")), "id_l")
             .join(units.select(F.col("id").alias("id_r"), F.col("s").alias("s_r")), "id_r"))
-    near = (both.select("id_l", "id_r", X.jaccard("s_l", "s_r").alias("similarity"))
-            .where(F.col("similarity") >= F.lit(threshold) - eps))
-    return near.unionByName(copies)
+    near = both.where(X.jaccard("s_l", "s_r") >= F.lit(threshold) - eps).select("id_l", "id_r")
+    return near.unionByName(same_core).unionByName(copies)
 
 
 def near_dup_docs(df: DataFrame, id: str, text: str, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, canon_id, prob): clusters of near copies."""
-    return cluster_pairs(near_dup_pairs(df, id, text, shingle, threshold), threshold - 1e-9, score="similarity")
+    """(id, canon_id): clusters of near copies."""
+    return connected_components(near_dup_links(df, id, text, shingle, threshold), "id_l", "id_r")

@@ -233,8 +233,12 @@ def lda_topics(df: DataFrame, tokens: str, k: int, max_iter: int = 10, seed: int
 
 
 def word2vec_doc_vectors(df: DataFrame, tokens: str, size: int = 100, min_count: int = 2, seed: int = 42,
-                         partitions: int = 1, out: str = "embedding") -> DataFrame:
-    """Adds the mean word vector of each record (``partitions`` is the trainer's parallelism; fix it for a repeatable model)."""
+                         partitions: int | None = None, out: str = "embedding") -> DataFrame:
+    """Adds the mean word vector of each record.
+
+    ``partitions`` is the trainer's parallelism, by default one per core; fix it for a repeatable model.
+    """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
                      inputCol=tokens, outputCol="_v").fit(df)
     return model.transform(df).withColumn(out, vector_to_array("_v", "float32")).drop("_v")

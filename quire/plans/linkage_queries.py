@@ -280,7 +280,7 @@ ov AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON
 near AS (SELECT x, y, c::DOUBLE / (p.n + q.n - c) AS similarity FROM ov JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8 - 1e-9)"""
 
 
-@query("near_dup_docs", f"""WITH RECURSIVE {_SHINGLES_SQL}, {_components_sql("SELECT x AS a, y AS b, similarity FROM near UNION ALL SELECT y, x, similarity FROM near")},
-best AS (SELECT a AS id, max(similarity) AS prob FROM e GROUP BY 1) SELECT comp.id, canon_id, round(prob, 6) AS prob FROM comp JOIN best ON comp.id = best.id""")
+@query("near_dup_docs", f"""WITH RECURSIVE {_SHINGLES_SQL}, {_components_sql("SELECT x AS a, y AS b FROM near UNION ALL SELECT y, x FROM near")}
+SELECT id, canon_id FROM comp""")
 def near_dup_docs(spark, sf):
-    return L.near_dup_docs(texts(spark, sf, "doc_id", "text"), "doc_id", "text").withColumn("prob", F.round("prob", 6))
+    return L.near_dup_docs(texts(spark, sf, "doc_id", "text"), "doc_id", "text")

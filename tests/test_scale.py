@@ -116,6 +116,11 @@ def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(2)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(60)) for _ in range(8)]
     texts = [(i, base[i % 8] if i % 3 else base[i % 8] + f" word{i} extra") for i in range(60)] + [(60, "short text"), (61, "Short, text!")]
+    # one template with changes of its own in each copy, and some with changes that copies share
+    form = base[0].split()
+    for i in range(62, 110):
+        cut = rng.randrange(len(form))
+        texts.append((i, " ".join(form[:cut] + [f"own{i}" if i % 2 else "shared"] * rng.randrange(1, 4) + form[cut:])))
     shingles = {}
     for i, t in texts:
         w = [x for x in t.lower().replace(",", " ").replace("!", " ").split() if x]
