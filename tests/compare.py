@@ -26,7 +26,7 @@ def connect(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, bool):
         return str(v)
     return str(v)
