@@ -65,7 +65,7 @@ def _copies(classes: DataFrame, limit: float) -> DataFrame:
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: float = 3.0, tilt: float = 0.05,
                   seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, copies, source, text_key) for every row of ``docs``.
 
     ``size`` counts words, ``taken = copies * size``. Copies never exceed ``limit``; the words a source takes differ from
     its target by half of one document at most, and as a rule by far less: one drawn document may be changed for it. ``tilt`` is the loss of expected copies per length class (powers of
@@ -77,12 +77,13 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: fl
     digit by digit, so that a window only ever sees the few rows of one crossing bin.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    salt = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    text_key = F.md5(text.cast("binary"))
+    salt = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_key)
     # 48 bits of MD5, which every SQL engine can repeat
     draw = (F.conv(F.substring(F.md5(salt.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 48)
     rows = durable(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        draw.alias("_u"), F.monotonically_increasing_id().alias("_row"))
+        text_key.alias("text_key"), draw.alias("_u"), F.monotonically_increasing_id().alias("_row"))
         .withColumn("size_class", F.length(F.bin("size"))), "mix-rows")
     classes = rows.groupBy("source", "size_class").agg(F.sum("size").alias("class_size"))
     targets = durable(source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), cycle, limit), "mix-targets")
@@ -103,13 +104,13 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: fl
     rank = F.least(F.floor(above / (above + below) * F.lit(float(_UNIT))), F.lit(_UNIT - 1)).cast("long")
     # plan has one row per source and length class, at most 64 per source
     ranked = durable(rows.alias("r").join(plan.alias("p"), same("r", "p") & (F.col("r.size_class") == F.col("p.size_class")))
-                     .select("doc_id", "r.source", "size", "_row", "_u", "source_size", "target", "missing", "whole", "p",
+                     .select("doc_id", "r.source", "size", "text_key", "_row", "_u", "source_size", "target", "missing", "whole", "p",
                              F.when((F.col("p") > 0) & (F.col("size") > 0), rank).alias("rank")), "mix-ranked")
     drawn = _stop_ranks(ranked)
     taken = (ranked.alias("r").join(drawn.alias("d"), same("r", "d"), "left")
              .select("r.*", "d.prefix", "d.digits")
              .withColumn("_bin", F.expr("shiftright(rank, cast(52 - digits as int))")))
-    sure = taken.select("doc_id", "source", "size", "source_size", "target", "whole", "_row",
+    sure = taken.select("doc_id", "source", "size", "text_key", "source_size", "target", "whole", "_row",
                         F.when(F.col("rank").isNull() | F.col("prefix").isNull() | (F.col("_bin") > F.col("prefix")), 0)
                         .when(F.col("_bin") < F.col("prefix"), 1).alias("extra"),
                         "rank", "_u")
@@ -122,7 +123,22 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), limit: fl
     every = _nearest(every)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("int")
     return every.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
-                        (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source")
+                        (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source", "text_key")
+
+
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it.
+
+    Copies are joined back by text digest, id and source. Rows that repeat all three appear as one row repeated as often
+    as all of them are taken.
+    """
+    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    mixed = mix_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = mixed.where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"))
+    same = [F.col("d._text_key") == F.col("c.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("c.doc_id")),
+            F.col(f"d.{source_col}").eqNullSafe(F.col("c.source"))]
+    return (keyed.alias("d").join(copies.alias("c"), same).select("d.*", "_copies").dropDuplicates(["_text_key", id_col, source_col])
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns))
 
 
 def _nearest(every: DataFrame) -> DataFrame:

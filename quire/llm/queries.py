@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, sharding, token_store
+from pyspark.sql import functions as F
+
+from quire.llm import chat, debruijn, decontaminate, mixing, multi_index, pii, sharding, simhash, token_store, toxicity
 from quire.llm.registry import LLM_CATALOG, llm_query, table
 
 
@@ -16,6 +18,69 @@ def op1_hash_tree_shards(spark, sf):
     return sharding.shard_documents(table(spark, sf, "documents"), tree, sharding.with_shard(tree))
 
 
+CONTAINED_SQL = r"""
+WITH lowered AS (SELECT doc_id AS id, 'd' AS side, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT item_id, 'i', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE item_id IS NOT NULL),
+worded AS (SELECT id, side, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM lowered),
+grams AS (SELECT DISTINCT id, side, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM worded WHERE len(w) > 0),
+sizes AS (SELECT id AS item_id, count(*) AS n FROM grams WHERE side = 'i' GROUP BY 1)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS INTEGER) AS shared, CAST(any_value(n) AS INTEGER) AS item_shingles,
+  count(*) / any_value(n)::DOUBLE AS containment
+FROM grams d JOIN grams i ON d.side = 'd' AND i.side = 'i' AND d.g = i.g JOIN sizes ON sizes.item_id = i.id
+GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)"""
+
+
+@llm_query("op2_minhash_containment", CONTAINED_SQL)
+def op2_minhash_containment(spark, sf):
+    return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@llm_query("op3_covering_simhash")
+def op3_covering_simhash(spark, sf):
+    return simhash.simhash_components(table(spark, sf, "documents"))
+
+
+@llm_query("op4_pii_spans")
+def op4_pii_spans(spark, sf):
+    return pii.pii_digests(table(spark, sf, "documents"))
+
+
+@llm_query("op5_debruijn_repeats")
+def op5_debruijn_repeats(spark, sf):
+    kept = debruijn.remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+HAMMING_SQL = """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+met AS (SELECT q.vec_id AS query_id, b.vec_id AS id,
+    CAST(list_sum(list_transform(list_zip(q.c, b.c), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM codes q, codes b WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM met) WHERE rank <= 10"""
+
+
+@llm_query("op6_multi_index_top_k", HAMMING_SQL)
+def op6_multi_index_top_k(spark, sf):
+    base = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), multi_index.sign_code(F.col("embedding"), 64).alias("code"))
+    return multi_index.hamming_top_k(base, base.where(F.col("id") % 100 == 0), k=10)
+
+
+@llm_query("op7_cnn_toxicity")
+def op7_cnn_toxicity(spark, sf):
+    return toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@llm_query("op8_prefix_targets")
+def op8_prefix_targets(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(rows.unionByName(more))
+
+
 @llm_query("op9_pareto_mix")
 def op9_pareto_mix(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")

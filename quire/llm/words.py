@@ -25,7 +25,8 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2^64 for ``i`` in ``range(n)``."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
@@ -77,12 +78,12 @@ def text_bytes(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return (_LOWER[data] if lower else data), offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte bounds of the words, and the index of each document's first word (one more at the end)."""
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    solid = ~_SPACE[data]
+    solid = ~parting[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     begin = solid.copy()
@@ -97,9 +98,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash per word."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)))
+    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(_BASE, len(data)))
     before = np.where(start > 0, total[start - 1], np.uint64(0))
-    return mix((total[end - 1] - before) * _power(_BASE_INVERSE, len(data))[start])
+    return mix((total[end - 1] - before) * power(_BASE_INVERSE, len(data))[start])
 
 
 def run_hashes(hashes: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
