@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
-from quire.runtime import durable
+from quire.runtime import discard, durable
 
 _LAST = (1 << 63) - 1  # stands for a null id: after all others
+_LENGTH_BITS = 16  # of an edge's place: an edge has fewer than 65,536 words
 _BASE = 0xA0761D6478BD642F
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -50,8 +51,8 @@ def _edges(window: int):
     k, w = _split(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batches, text=2):
-            data, offsets = W.text_bytes(part.column(2))
+        for part in W.slices(batches):
+            data, offsets = W.text_bytes(part.column(1))
             start, end, first = W.word_bounds(data, offsets)
             hashes = W.word_hashes(data, start, end)
             at = anchors(hashes, first, k, w)
@@ -63,57 +64,63 @@ def _edges(window: int):
             # a running sum names the token string [a, b) by its words and length, wherever it stands
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * W.power(_BASE, len(hashes)))])
             name = W.mix((total[b] - total[a]) * W.power(_BASE_INVERSE, len(hashes))[a] + (b - a).astype(np.uint64))
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(1).take(take), pa.array((a - first[doc]).astype(np.int32)),
-                 pa.array((b - first[doc]).astype(np.int32)), pa.array(name.view(np.int64))], names=["doc", "sub", "a", "b", "edge"])
+            place = (a - first[doc]) << _LENGTH_BITS | b - a
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(place), pa.array(name.view(np.int64))], names=["row", "place", "edge"])
     return run
 
 
 def compacted_paths(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, sub, a, b): word bounds of the maximal non-branching paths of edges that occur in several documents.
+    """(row, a, b, head, tail): maximal non-branching paths of edges that occur more than once.
 
-    ``docs`` is (doc, sub, text): a non-null id and a hash that tells rows of the same id apart.
+    ``docs`` is (row, text) with a key per text. A path covers the words [a, b); its first edge ends at ``head``, its
+    last one begins at ``tail``.
     """
     k, _ = _split(window)
-    edges = durable(docs.mapInArrow(_edges(window), "doc long, sub long, a int, b int, edge long"), "edges")
-    counts = (edges.groupBy("edge").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-              .where("low < high").select("edge", "n"))
-    order = Window.partitionBy("doc", "sub").orderBy("a")
-    shared = edges.join(counts, "edge").withColumn("before", F.lag(F.struct("edge", "n", "b")).over(order))
+    # a row is a key, a place (first word and length in one number) and the edge's name: 24 bytes
+    edges = durable(docs.mapInArrow(_edges(window), "row long, place long, edge long"), "edges")
+    counts = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("row").orderBy("a")
+    shared = edges.join(counts, "edge").select("row", "edge", "n", F.shiftright("place", _LENGTH_BITS).cast("int").alias("a"),
+                                               (F.shiftright("place", _LENGTH_BITS) + F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))).cast("int").alias("b"))
+    shared = shared.withColumn("before", F.lag(F.struct("edge", "n", "b")).over(order))
     # only the edge that starts at the last one's second anchor follows it
     follows = F.col("before.b") == F.col("a") + k
-    shared = durable(shared.select("doc", "sub", "a", "b", "edge", "n", F.when(follows, F.col("before.edge")).alias("prior"),
+    shared = durable(shared.select("row", "a", "b", "edge", "n", F.when(follows, F.col("before.edge")).alias("prior"),
                                    F.when(follows, F.col("before.n")).alias("prior_n")), "shared-edges")
-    joints = shared.where("prior is not null").groupBy("prior", "edge").agg(F.count("*").alias("together"))
+    discard(edges)
+    # both edges occur as often as they occur one after the other: a path goes on
+    joints = shared.where("prior is not null and prior_n = n").groupBy("prior", "edge").agg(F.count("*").alias("together"))
     linked = (shared.alias("s").join(joints.alias("j"), [F.col("s.prior") == F.col("j.prior"), F.col("s.edge") == F.col("j.edge")], "left")
-              .select("s.*", F.coalesce((F.col("together") == F.col("n")) & (F.col("prior_n") == F.col("n")), F.lit(False)).alias("joined")))
+              .select("s.row", "s.a", "s.b", F.coalesce((F.col("together") == F.col("n")) & (F.col("prior_n") == F.col("n")), F.lit(False)).alias("joined")))
     paths = linked.withColumn("path", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order))
-    return paths.groupBy("doc", "sub", "path").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc", "sub", "a", "b")
+    paths = durable(paths.groupBy("row", "path").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("b").alias("head"), F.max("a").alias("tail"))
+                    .drop("path"), "paths")
+    discard(shared)
+    return paths
 
 
 def _claims(window: int):
-    """Digests of each path that holds a window, and of the windows that touch a path but lie in none."""
-    k, _ = _split(window)
-
-    def of(doc, sub, tokens: list[bytes], paths: list[tuple[int, int]]) -> Iterator[tuple]:
-        n = len(tokens)
-        want = np.zeros(max(n - window + 1, 0), dtype=bool)
-        for a, b in paths:  # an edge has over k words, so a shared window has over k words of a path
-            want[max(0, a + k + 1 - window):max(0, b - k)] = True
-        for a, b in paths:
-            if b - a >= window:
-                want[a:b - window + 1] = False
-        for a, b in [p for p in paths if p[1] - p[0] >= window] + [(int(s), int(s) + window) for s in np.flatnonzero(want)]:
+    """Digests of each path that holds a window, and of the windows that hold an edge but lie in no path."""
+    names = ["d1", "d2", "doc", "row", "place"]
+
+    def of(doc, row, tokens: list[bytes], paths: list) -> Iterator[tuple]:
+        want = np.zeros(max(len(tokens) - window + 1, 0), dtype=bool)
+        for p in paths:
+            # a window with an edge of the path holds its first or its last one, or lies within the path
+            want[max(0, p["head"] - window):p["a"] + 1] = True
+            want[max(0, p["b"] - window):p["tail"] + 1] = True
+        long = [(p["a"], p["b"]) for p in paths if p["b"] - p["a"] >= window]
+        for a, b in long:
+            want[a:b - window + 1] = False
+        for a, b in long + [(int(s), int(s) + window) for s in np.flatnonzero(want)]:
             name = hashlib.blake2b(b" ".join(tokens[a:b]), digest_size=16).digest()
-            yield int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), doc, sub, a, b
+            yield int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), doc, row, a << 32 | b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d1", "d2", "doc", "sub", "a", "b"]
         for part in W.slices(batches, text=2):
             rows = []
-            for doc, sub, text, paths in zip(*(part.column(i).to_pylist() for i in range(4))):
-                rows += of(doc, sub, text.encode().split(), sorted((p["a"], p["b"]) for p in paths))
+            for doc, row, text, paths in zip(*(part.column(i).to_pylist() for i in range(4))):
+                rows += of(doc, row, text.encode().split(), paths)
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
                     rows = []
@@ -123,17 +130,22 @@ def _claims(window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc, sub, a, b): word spans all of whose ``window``-word windows also start in a document with a smaller id.
+    """(row, place): word spans all of whose ``window``-word windows also start in a document with a smaller id.
 
-    ``docs`` is (doc, sub, text) as for ``compacted_paths``, texts not null.
+    ``docs`` is (doc, row, text): an id, a key per id and text, and the text, none of them null. ``place`` is the first
+    word in the upper and the end in the lower 32 bits.
     """
-    paths = compacted_paths(docs, window)
+    paths = compacted_paths(docs.select("row", "text"), window)
     # a document's paths are bounded by its own text
-    own = paths.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("paths"))
-    claims = durable(docs.join(own, ["doc", "sub"]).select("doc", "sub", "text", "paths")
-                     .mapInArrow(_claims(window), "d1 long, d2 long, doc long, sub long, a long, b long"), "claims")
+    own = paths.groupBy("row").agg(F.collect_list(F.struct("a", "b", "head", "tail")).alias("paths"))
+    claims = durable(docs.join(own, "row").select("doc", "row", "text", "paths")
+                     .mapInArrow(_claims(window), "d1 long, d2 long, doc long, row long, place long"), "claims")
+    discard(paths)
+    # a path or window starts first in the smallest document that claims the same words
     first = claims.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("d1", "d2", "low")
-    return claims.join(first, ["d1", "d2"]).where("low < doc").select("doc", "sub", "a", "b")
+    spans = durable(claims.join(first, ["d1", "d2"]).where("low < doc").select("row", "place"), "repeats")
+    discard(claims)
+    return spans
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +155,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = (text or "").encode().split()
             gone = np.zeros(len(tokens), dtype=bool)
             for s in spans or ():
-                gone[s["a"]:s["b"]] = True
+                gone[s >> 32:s & 0xFFFFFFFF] = True
             kept = [t for t, g in zip(tokens, gone.tolist()) if not g] if spans else tokens
             out.append((len(tokens), len(tokens) - len(kept), b" ".join(kept).decode()))
         n, removed, kept = zip(*out)
@@ -160,8 +172,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     repeated rows are kept and treated alike; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("sub"), "text")
-    spans = repeated_spans(keyed.select("doc", "sub", "text"), window)
-    own = spans.groupBy("doc", "sub").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return keyed.join(own, ["doc", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(
+    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    spans = repeated_spans(keyed.select("doc", "row", "text"), window)
+    own = spans.groupBy("row").agg(F.collect_set("place").alias("spans"))
+    return keyed.join(own, "row", "left").select("doc_id", "text", "spans").mapInArrow(
         _keep, "doc_id long, n_words long, n_removed long, kept string")
