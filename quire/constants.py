@@ -25,9 +25,6 @@ SPAN_PATTERN = r"\b(\d{4})\s*-\s*(\d{4})\b"
 BORN_DIED_PATTERN = r"\b[bd]\.\s*(\d{4})\b"
 SINGLE_YEAR_PATTERN = r"\b(\d{4})\b"
 
-# fixed values: two-sided normal quantiles by confidence level
-Z_BY_CONFIDENCE = {0.80: 1.281552, 0.90: 1.644854, 0.95: 1.959964, 0.98: 2.326348, 0.99: 2.575829}
-
 # fixed values: small opinion lexicon (word, polarity, subjectivity)
 OPINION_LEXICON = [
     ("good", 0.7, 0.6), ("bad", -0.7, 0.67), ("great", 0.8, 0.75), ("terrible", -1.0, 1.0),

@@ -57,15 +57,15 @@ def _search_columns(query: str, fields: list[str], rename=lambda f: f) -> tuple[
     return matches, match_fields, matched_terms
 
 
-def boolean_query_search(df: DataFrame, query: str, fields=("label", "type"), limit: int | None = 50,
+def boolean_query_search(df: DataFrame, query: str, fields=("label", "type"), limit: int | None = None,
                          order_by: str = "idx") -> DataFrame:
-    """Rows matching a search string, with the fields and terms that matched; ``limit`` in ``order_by`` order."""
+    """Rows matching a search string, with the fields and terms that matched; with a ``limit`` the first in ``order_by`` order."""
     matches, match_fields, matched_terms = _search_columns(query, list(fields))
     found = df.where(matches).withColumn("match_fields", match_fields).withColumn("matched_terms", matched_terms)
     return found if limit is None else found.orderBy(order_by).limit(limit)
 
 
-def pair_search(pairs: DataFrame, query: str, label_filter: str = "all", limit: int | None = 50,
+def pair_search(pairs: DataFrame, query: str, label_filter: str = "all", limit: int | None = None,
                 fields=("label", "type"), order_by=("idx_l", "idx_r")) -> DataFrame:
     """Labelled pairs (columns ``<field>_l``, ``<field>_r``, ``pair_label``) where either side matches."""
     left, left_fields, _ = _search_columns(query, [f"{f}_l" for f in fields], lambda f: f[:-2])

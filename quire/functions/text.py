@@ -32,14 +32,20 @@ def keep_clean(toks) -> Column:
     return F.filter(_col(toks), lambda x: (F.length(x) > 2) & ~x.rlike(r"^\d+$"))
 
 
+def once(value, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
+
+
 def ngram_array(toks, n: int) -> Column:
     """Runs of n tokens: n shifted copies zipped, which is linear in the text (a slice per position is not)."""
-    t = _col(toks)
-    count = F.greatest(F.size(t) - (n - 1), F.lit(0))
-    grams = F.slice(t, F.lit(1), count)
-    for shift in range(1, n):
-        grams = F.zip_with(grams, F.slice(t, F.lit(shift + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
-    return grams
+    def shifted(t: Column) -> Column:
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        grams = F.slice(t, F.lit(1), count)
+        for shift in range(1, n):
+            grams = F.zip_with(grams, F.slice(t, F.lit(shift + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+        return grams
+    return once(toks, shifted)
 
 
 def char_grams(col, n: int = 3) -> Column:
@@ -60,14 +66,12 @@ def one_deletions(col) -> Column:
 
 def avg_word_length(col) -> Column:
     """Mean length of the words; null without any."""
-    w = words(col)
-    return F.try_divide(F.length(F.array_join(w, "")).cast("double"), F.size(w))
+    return once(words(col), lambda w: F.try_divide(F.length(F.array_join(w, "")).cast("double"), F.size(w)))
 
 
 def lexical_diversity(col) -> Column:
     """Distinct lower-case words over words; null without any."""
-    w = words(F.lower(_col(col)))
-    return F.try_divide(F.size(F.array_distinct(w)).cast("double"), F.size(w))
+    return once(words(F.lower(_col(col))), lambda w: F.try_divide(F.size(F.array_distinct(w)).cast("double"), F.size(w)))
 
 
 def syllables(word) -> Column:

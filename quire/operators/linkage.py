@@ -286,11 +286,13 @@ def near_dup_links(df: DataFrame, id: str, text: str, shingle: int = 5, threshol
        that qualify with it are tied to it and need no further comparison.
     3. The rest meet on their rare runs (prefix principle), over whole texts and without a cap.
     """
-    w = words(text)
+    # tokens are used several times: computed once
+    df = df.select(F.col(id).alias("id"), F.explode(F.array(words(text))).alias("_w"))
+    w = F.col("_w")
     runs = F.when(F.size(w) >= shingle, X.ngram_array(w, shingle)).otherwise(F.array(F.array_join(w, " ")))
     hashed = F.sort_array(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))))
     digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
-    sets = durable(df.where(F.size(w) > 0).select(F.col(id).alias("id"), hashed.alias("s")).withColumn("h", digest("s")), "shingles")
+    sets = durable(df.where(F.size(w) > 0).select("id", hashed.alias("s")).withColumn("h", digest("s")), "shingles")
     firsts = durable(sets.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
     copies = sets.join(firsts.where("n > 1"), "h").where("id > rep").select(F.col("rep").alias("id_l"), F.col("id").alias("id_r"))
 

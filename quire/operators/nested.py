@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from quire.functions.nested import first_element, nested_transform_join, transform_join
+from quire.operators.windows import global_index
+from quire.runtime import durable
 
 
 def explode_array(df: DataFrame, col: str, alias: str) -> DataFrame:
@@ -176,17 +178,26 @@ def nest_children(df: DataFrame, keys: list[str], fields: list[str], order_by: l
                   max_items: int = 100_000) -> DataFrame:
     """Rebuild ``array<struct>`` per key from flat rows, sorted by ``order_by``.
 
-    A key with more than ``max_items`` rows gives several rows, numbered by ``part_no``, so no array
-    and no task has to hold an unbounded group; together they hold every child. All other keys
-    give one row with ``part_no`` 0.
+    The rows of a key are cut into pages of ``max_items`` in that order, numbered by ``part_no`` from 0, so no array is
+    larger and together they hold every child. Keys of more than one page are ranked by a distributed sort, so that
+    no task holds one of them; the others are grouped in one pass.
     """
-    big = (df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items)
-           .select(*keys, F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_parts")))
-    spread = df.join(big, keys, "left").withColumn(
-        "part_no", F.coalesce(F.pmod(F.xxhash64(*order_by, *fields), F.col("_parts").cast("long")), F.lit(0)).cast("int"))
-    ordered = F.sort_array(F.collect_list(F.struct(*order_by, *[f for f in fields if f not in order_by])))
-    grouped = spread.groupBy(*keys, "part_no").agg(ordered.alias("_a"))
-    return grouped.select(*keys, "part_no", F.transform("_a", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
+    fields_ = F.struct(*order_by, *[f for f in fields if f not in order_by])
+
+    def packed(rows: DataFrame) -> DataFrame:
+        grouped = rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list(fields_)).alias("_a"))
+        return grouped.select(*keys, "part_no", F.transform("_a", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
+
+    large = durable(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items).select(*keys), "large-keys")
+    if large.isEmpty():
+        return packed(df.withColumn("part_no", F.lit(0)))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    ranked = global_index(df.alias("d").join(large.alias("l"), same("d", "l"), "left_semi"), [*keys, *order_by], "_ix")
+    starts = ranked.groupBy(*keys).agg(F.min("_ix").alias("_from"))
+    paged = (ranked.alias("d").join(starts.alias("s"), same("d", "s")).select("d.*", "_from")
+             .withColumn("part_no", F.expr(f"cast((_ix - _from) div {int(max_items)} as int)")).drop("_ix", "_from"))
+    rest = df.alias("d").join(large.alias("l"), same("d", "l"), "left_anti").withColumn("part_no", F.lit(0))
+    return packed(rest).unionByName(packed(paged))
 
 
 def row_to_json_doc(df: DataFrame, out: str = "doc") -> DataFrame:

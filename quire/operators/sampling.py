@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.constants import Z_BY_CONFIDENCE
 from quire.operators.setops import first_per_key
 
 
+def z_score(confidence: float) -> float:
+    """The two-sided normal quantile of any confidence level, to six places."""
+    return round(NormalDist().inv_cdf((1 + confidence) / 2), 6)
+
+
 def _draw(key: str, seed) -> Column:
     """A fixed pseudo-random order: md5 of key and seed."""
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
@@ -17,7 +23,7 @@ def _draw(key: str, seed) -> Column:
 def hash_sample(df: DataFrame, key: str, fraction: float, seed=0) -> DataFrame:
     """About ``fraction`` of the keys; the same keys each time."""
     digest = F.conv(F.substring(_draw(key, seed), 1, 8), 16, 10).cast("long")
-    return df.where(F.pmod(digest, F.lit(10000)) < int(fraction * 10000))
+    return df.where(digest < F.lit(int(fraction * 2 ** 32)).cast("long"))
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed=0) -> DataFrame:
@@ -38,7 +44,7 @@ def sample_size_fpc(df: DataFrame, stratum: str, scenarios: list[dict]) -> DataF
     rows = [F.struct(F.lit(s["confidence"]).cast("double").alias("confidence"), F.lit(s["margin"]).cast("double").alias("margin"),
                      F.lit(s.get("p", 0.5)).cast("double").alias("p"), F.lit(s.get("deff", 1.0)).cast("double").alias("deff"),
                      F.lit(s.get("min_samples", 30)).cast("long").alias("min_samples"),
-                     F.lit(Z_BY_CONFIDENCE[s["confidence"]]).alias("z")) for s in scenarios]
+                     F.lit(z_score(s["confidence"])).alias("z")) for s in scenarios]
     strata = df.groupBy(stratum).agg(F.count("*").alias("population"))
     out = strata.select(stratum, "population", F.explode(F.array(*rows)).alias("s")).select(stratum, "population", "s.*")
     n0 = F.col("z") * F.col("z") * F.col("p") * (1 - F.col("p")) / (F.col("margin") * F.col("margin")) * F.col("deff")

@@ -44,7 +44,9 @@ def clean_tokens(df: DataFrame, tokens: str) -> DataFrame:
 
 def term_counts(df: DataFrame, tokens: str, k: int | None = 50) -> DataFrame:
     """(term, n), the k most frequent; counts are combined before the shuffle."""
-    counts = df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # one row per text first: exploding an expression would repeat it in the filters Spark infers
+    rows = df.select(F.explode(F.array(tokens)).alias("_t"))
+    counts = rows.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return counts if k is None else counts.orderBy(F.desc("n"), "term").limit(k)
 
 
@@ -52,13 +54,18 @@ def ngrams(df: DataFrame, tokens: str, n: int, k: int | None = 40) -> DataFrame:
     return term_counts(df.select(X.ngram_array(tokens, n).alias("grams")), "grams", k)
 
 
-def vocab_min_df(df: DataFrame, tokens: str, min_df: int = 5, size: int = 10_000) -> DataFrame:
-    """(term, n, df, term_ix): terms in at least ``min_df`` rows, the ``size`` most frequent, numbered from 0."""
+def term_frequencies(df: DataFrame, tokens: str, min_df: int = 1) -> DataFrame:
+    """(term, n, df): all terms in at least ``min_df`` rows, with their occurrences and rows."""
+    df = df.select(F.explode(F.array(tokens)).alias(tokens))  # tokens are used twice: computed once
     marks = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
                      F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    counts = (df.select(F.explode(marks).alias("m")).groupBy("m.term")
-              .agg(F.sum("m.tf").alias("n"), F.sum("m.df").alias("df")).where(F.col("df") >= min_df))
-    top = counts.orderBy(F.desc("n"), "term").limit(size)
+    return (df.select(F.explode(marks).alias("m")).groupBy("m.term")
+            .agg(F.sum("m.tf").alias("n"), F.sum("m.df").alias("df")).where(F.col("df") >= min_df))
+
+
+def vocab_min_df(df: DataFrame, tokens: str, min_df: int = 5, size: int = 10_000) -> DataFrame:
+    """(term, n, df, term_ix): terms in at least ``min_df`` rows, the ``size`` most frequent, numbered from 0."""
+    top = term_frequencies(df, tokens, min_df).orderBy(F.desc("n"), "term").limit(size)
     # numbering runs over the vocabulary only, at most ``size`` rows
     return top.withColumn("term_ix", (F.row_number().over(Window.orderBy(F.desc("n"), "term")) - 1).cast("long"))
 
@@ -71,10 +78,14 @@ def doc_term_matrix(df: DataFrame, id: str, tokens: str, vocab: DataFrame) -> Da
 
 def field_jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds ``jaccard`` and ``unique_share`` (words of b that are not in a, as a share of b); null for a blank field."""
-    wa, wb = (F.array_distinct(X.words(F.lower(F.col(c)))) for c in (a, b))
+    names = df.columns
+    for c, w in ((a, "_wa"), (b, "_wb")):
+        df = df.select("*", F.explode(F.array(F.array_distinct(X.words(F.lower(F.col(c)))))).alias(w))
+    wa, wb = F.col("_wa"), F.col("_wb")
     usable = (F.trim(F.coalesce(a, F.lit(""))) != "") & (F.trim(F.coalesce(b, F.lit(""))) != "")
     return (df.withColumn("jaccard", F.when(usable, X.jaccard(wa, wb)))
-            .withColumn("unique_share", F.when(usable, F.try_divide(F.size(F.array_except(wb, wa)).cast("double"), F.size(wb)))))
+            .withColumn("unique_share", F.when(usable, F.try_divide(F.size(F.array_except(wb, wa)).cast("double"), F.size(wb))))
+            .select(*names, "jaccard", "unique_share"))
 
 
 def sentence_split(df: DataFrame, id: str, text: str) -> DataFrame:

@@ -198,7 +198,7 @@ def coverage_overlap(spark, sf):
 
 
 @query("scale_up_estimate", """
-WITH s AS (SELECT * FROM orders WHERE ('0x' || md5(o_orderkey || '|7')[1:8])::BIGINT % 10000 < 1000)
+WITH s AS (SELECT * FROM orders WHERE ('0x' || md5(o_orderkey || '|7')[1:8])::BIGINT < CAST(floor(0.1 * 4294967296) AS BIGINT))
 SELECT round(sum(o_totalprice), 2) AS sample_total, count(*) AS sample_rows, round(sum(o_totalprice) / 0.1::DOUBLE, 1) AS estimate FROM s""")
 def scale_up_estimate(spark, sf):
     out = A.scale_up_estimate(hash_sample(table(spark, sf, "orders"), "o_orderkey", 0.1, seed=7), "o_totalprice", 0.1)

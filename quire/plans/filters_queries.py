@@ -65,7 +65,7 @@ h AS (SELECT *, contains(l,'red') AS l1, contains(t,'red') AS t1, contains(l,'wi
 @query("boolean_query_search", _SEARCH_SQL + """
 SELECT idx, label, type, concat_ws(',', CASE WHEN l1 OR l2 OR l3 THEN 'label' END, CASE WHEN t1 OR t2 OR t3 THEN 'type' END) AS match_fields,
   concat_ws(',', CASE WHEN l1 OR t1 THEN 'red' END, CASE WHEN l2 OR t2 THEN 'widget' END, CASE WHEN l3 OR t3 THEN 'economy' END) AS matched_terms
-FROM h WHERE ((l1 OR t1) AND (l2 OR t2)) OR (l3 OR t3) ORDER BY idx LIMIT 50""")
+FROM h WHERE ((l1 OR t1) AND (l2 OR t2)) OR (l3 OR t3)""")
 def boolean_query_search(spark, sf):
     records = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("label"), F.col("p_type").alias("type"))
     out = P.boolean_query_search(records, "Red AND widget or ECONOMY")
@@ -81,7 +81,7 @@ WITH p AS (SELECT l_partkey AS idx_l, l_suppkey AS idx_r, p_name AS label_l, p_t
 m AS (SELECT *, (contains(lower(label_l),'blue') OR contains(lower(type_l),'blue')) AND (contains(lower(label_l),'bolt') OR contains(lower(type_l),'bolt')) AS record1_matches,
         (contains(lower(label_r),'blue') OR contains(lower(type_r),'blue')) AND (contains(lower(label_r),'bolt') OR contains(lower(type_r),'bolt')) AS record2_matches FROM p)
 SELECT idx_l, idx_r, type_r, pair_label, record1_matches, record2_matches FROM m
-WHERE pair_label = 'match' AND (record1_matches OR record2_matches) ORDER BY idx_l, idx_r, type_r LIMIT 50""")
+WHERE pair_label = 'match' AND (record1_matches OR record2_matches)""")
 def pair_search(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
         F.max("l_returnflag").alias("flag"), F.array_sort(F.collect_set("l_linestatus")).alias("types"))
@@ -90,7 +90,7 @@ def pair_search(spark, sf):
              .select(F.col("l_partkey").alias("idx_l"), F.col("l_suppkey").alias("idx_r"), F.col("p_name").alias("label_l"),
                      F.col("p_type").alias("type_l"), F.col("s_name").alias("label_r"), F.explode("types").alias("type_r"),
                      F.when(F.col("flag") == "R", "distinct").otherwise("match").alias("pair_label")))
-    out = P.pair_search(pairs, "blue AND bolt", "match", 50, order_by=("idx_l", "idx_r", "type_r"))
+    out = P.pair_search(pairs, "blue AND bolt", "match", order_by=("idx_l", "idx_r", "type_r"))
     return out.select("idx_l", "idx_r", "type_r", "pair_label", "record1_matches", "record2_matches")
 
 

@@ -20,8 +20,10 @@ def customer_orders(spark: SparkSession, sf: str) -> DataFrame:
         "o_custkey", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("date"), "items")
     nested = nest_children(orders, ["o_custkey"], ["key", "status", "priority", "date", "items"], ["key"], out="orders")
+    # a customer of several pages is several records, each with an id of its own
+    page = F.when(F.col("part_no") > 0, F.concat(F.lit("#"), "part_no")).otherwise(F.lit(""))
     return table(spark, sf, "customer").join(nested, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("label"),
+        F.concat(F.col("c_custkey").cast("string"), page).alias("id"), F.col("c_name").alias("label"),
         "c_nationkey", "c_acctbal", "c_mktsegment", "orders")
 
 

@@ -205,7 +205,7 @@ _DICT_SQL = f"""dict AS (SELECT word, n FROM (SELECT word, count(*) AS n, count(
 def _dictionary(spark, sf):
     """Words of the English documents seen in at least 20 of them."""
     en = _docs(spark, sf).where("lang = 'en'").select(T._letters("text").alias("tokens"))
-    return T.vocab_min_df(en, "tokens", 20, 1_000_000).select(F.col("term").alias("word"), "n")
+    return T.term_frequencies(en, "tokens", 20).select(F.col("term").alias("word"), "n")
 
 
 @query("spell_ratio", f"""WITH {_DICT_SQL}, u AS (SELECT doc_id, unnest({_LETTERS}) AS word FROM documents),

@@ -83,7 +83,7 @@ def bernoulli_sample(spark, sf):
     return table(spark, sf, "documents").select("doc_id").sample(False, 0.2, seed=42)
 
 
-@query("hash_sample", "SELECT o_orderkey FROM orders WHERE ('0x' || md5(o_orderkey || '|3')[1:8])::BIGINT % 10000 < 500")
+@query("hash_sample", "SELECT o_orderkey FROM orders WHERE ('0x' || md5(o_orderkey || '|3')[1:8])::BIGINT < CAST(floor(0.05 * 4294967296) AS BIGINT)")
 def hash_sample(spark, sf):
     return S.hash_sample(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.05, seed=3)
 

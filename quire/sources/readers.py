@@ -15,13 +15,12 @@ def read_jsonl(spark: SparkSession, path, schema: StructType | None = None) -> D
     return reader.json(path)
 
 
-def read_json_docs(spark: SparkSession, paths, limit: int | None = None, schema: StructType | None = None) -> DataFrame:
-    """One JSON object per file, with its ``source_file``; ``limit`` stops after that many files."""
+def read_json_docs(spark: SparkSession, paths, schema: StructType | None = None) -> DataFrame:
+    """One JSON object per file, with its ``source_file``."""
     reader = spark.read.option("multiLine", True)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.json(paths).select("*", F.col("_metadata.file_path").alias("source_file"))
-    return df.limit(limit) if limit is not None else df
+    return reader.json(paths).select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
@@ -37,23 +36,16 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def json_infer_parse(df: DataFrame, col: str, out: str, sample_rows: int | None = None) -> DataFrame:
+def json_infer_parse(df: DataFrame, col: str, out: str) -> DataFrame:
     """Infer the schema of a JSON string column and parse it into ``out``.
 
-    Without ``sample_rows`` the schema comes from every row (a distributed JSON scan), so no
-    field that is rare in the data is lost. With it, from that many strings only.
+    The schema comes from every row (a distributed JSON scan), so no field that is rare in the data is lost.
     """
     spark = df.sparkSession
     strings = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
-    if sample_rows is None:
-        path = scratch_path(spark, "json-infer")
-        strings.write.text(path)
-        schema = spark.read.json(path).schema
-        return df.withColumn(out, F.from_json(col, schema))
-    sample = [r.value for r in strings.limit(sample_rows).collect()]
-    array_ddl = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(sample) + "]"))).first()[0]
-    element_ddl = array_ddl[len("ARRAY<"):-1]
-    return df.withColumn(out, F.from_json(col, element_ddl))
+    path = scratch_path(spark, "json-infer")
+    strings.write.text(path)
+    return df.withColumn(out, F.from_json(col, spark.read.json(path).schema))
 
 
 def key_from_filename(df: DataFrame, col: str) -> DataFrame:

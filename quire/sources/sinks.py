@@ -7,6 +7,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,14 +68,15 @@ def partition_checkpoints(df: DataFrame, fn: Callable[[DataFrame], DataFrame], o
     partition filter, so a partitioned input is pruned to that slice.
     """
     spark = df.sparkSession
-    slices = sorted(r[0] for r in df.select(slice_col).distinct().collect())
+    slices = sorted((r[0] for r in df.select(slice_col).distinct().collect()), key=lambda v: (v is None, v))
     finished = 0.0
     for i, value in enumerate(slices, start=1):
-        target = f"{out}/{slice_col}={value}"
+        # as Spark names partition folders, so that reading ``out`` gives the values back
+        target = f"{out}/{slice_col}=" + ("__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=""))
         if _finished(spark, target):
             continue
         started = time.monotonic()
-        fn(df.where(F.col(slice_col) == F.lit(value))).drop(slice_col).write.mode("overwrite").parquet(target)
+        fn(df.where(F.col(slice_col).eqNullSafe(F.lit(value)))).drop(slice_col).write.mode("overwrite").parquet(target)
         finished += time.monotonic() - started
         log.info("slice %s: %d/%d, mean %.1fs, left %.0fs", value, i, len(slices), finished / i,
                  finished / i * (len(slices) - i))
@@ -115,17 +117,17 @@ def upsert_first_wins(existing: DataFrame, incoming: DataFrame, keys: list[str],
 
 
 def index_partition_sink(df: DataFrame, path: str, id_cols=("id", "chunk_index"), text_col: str = "chunk_text",
-                         vec_col: str = "embedding", metadata_cols=()) -> DataFrame:
-    """Write search documents (doc id, text, vector, metadata) as Parquet; return the written ids.
+                         vec_col: str = "embedding", metadata_cols=(), run: str = "0") -> DataFrame:
+    """Write search documents (doc id, text, vector, metadata) as Parquet; return the ids written.
 
-    A failed task is retried by Spark and the output committer keeps only one attempt.
+    Each ``run`` has a folder of its own, which a rerun overwrites. A failed task is retried by Spark and the output committer keeps only one attempt.
     """
     docs = df.select(
         F.concat_ws("_", *[F.col(c).cast("string") for c in id_cols]).alias("es_doc_id"),
         F.col(text_col).alias("text"), F.col(vec_col).alias("vector"),
         F.struct(*[F.col(c) for c in metadata_cols] or [F.lit(None).cast("string").alias("none")]).alias("metadata"))
-    docs.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path).select("es_doc_id")
+    docs.write.mode("overwrite").parquet(f"{path}/run={run}")
+    return df.sparkSession.read.parquet(f"{path}/run={run}").select("es_doc_id")
 
 
 def matrix_index_export(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:

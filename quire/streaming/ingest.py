@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.operators.chunking import chunk_recursive
 from quire.operators.setops import first_per_key
@@ -47,12 +47,17 @@ def stream_first_wins(stream: DataFrame, keys: list[str], order_by: list, out: s
     def write(batch: DataFrame, number: int) -> None:
         fresh = first_per_key(batch, keys, order_by)
         if number > 0:
-            earlier = batch.sparkSession.read.schema(schema).parquet(*[f"{out}/batch_{i}" for i in range(number)])
+            # only the key columns of earlier batches are read; a replayed batch does not meet itself
+            earlier = batch.sparkSession.read.schema(_with_batch(schema)).parquet(out).where(F.col("batch") < number)
             fresh = skip_existing(fresh, earlier, keys)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_{number}")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _each_batch(stream, checkpoint, write)
-    return spark.read.schema(schema).parquet(f"{out}/batch_*")
+    return spark.read.schema(_with_batch(schema)).parquet(out).drop("batch")
+
+
+def _with_batch(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch", LongType())])
 
 
 def stream_label_counts(stream: DataFrame, key: str) -> DataFrame:
@@ -62,14 +67,14 @@ def stream_label_counts(stream: DataFrame, key: str) -> DataFrame:
 
 def run_counts(counts: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Run a counting stream to the end of its input; ``out`` holds the latest complete counts."""
-    last = {"path": f"{out}/batch_0"}
-
     def write(batch: DataFrame, number: int) -> None:
-        last["path"] = f"{out}/batch_{number}"
-        batch.write.mode("overwrite").parquet(last["path"])
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _each_batch(counts, checkpoint, write, "complete")
-    return counts.sparkSession.read.schema(counts.schema).parquet(last["path"])
+    # a rerun without new input runs no batch: the latest is the highest number written by any run
+    written = counts.sparkSession.read.schema(_with_batch(counts.schema)).parquet(out)
+    latest = written.agg(F.max("batch")).first()[0]
+    return written.where(F.col("batch") == F.lit(latest)).drop("batch")
 
 
 def stream_index_sink(stream: DataFrame, out: str, checkpoint: str, id: str = "id", text: str = "text",
