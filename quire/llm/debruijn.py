@@ -78,7 +78,8 @@ def compacted_paths(docs: DataFrame, window: int) -> DataFrame:
     k, _ = _split(window)
     # a row is a key, a place (first word and length in one number) and the edge's name: 24 bytes
     edges = durable(docs.mapInArrow(_edges(window), "row long, place long, edge long"), "edges")
-    counts = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below deals both sides itself and can split a hot edge
+    counts = durable(edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1"), "edge-counts")
     order = Window.partitionBy("row").orderBy("a")
     shared = edges.join(counts, "edge").select("row", "edge", "n", F.shiftright("place", _LENGTH_BITS).cast("int").alias("a"),
                                                (F.shiftright("place", _LENGTH_BITS) + F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))).cast("int").alias("b"))
@@ -87,7 +88,7 @@ def compacted_paths(docs: DataFrame, window: int) -> DataFrame:
     follows = F.col("before.b") == F.col("a") + k
     shared = durable(shared.select("row", "a", "b", "edge", "n", F.when(follows, F.col("before.edge")).alias("prior"),
                                    F.when(follows, F.col("before.n")).alias("prior_n")), "shared-edges")
-    discard(edges)
+    discard(edges, counts)
     # both edges occur as often as they occur one after the other: a path goes on
     joints = shared.where("prior is not null and prior_n = n").groupBy("prior", "edge").agg(F.count("*").alias("together"))
     linked = (shared.alias("s").join(joints.alias("j"), [F.col("s.prior") == F.col("j.prior"), F.col("s.edge") == F.col("j.edge")], "left")
@@ -143,8 +144,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     discard(paths)
     # a path or window starts first in the smallest document that claims the same words
     first = claims.groupBy("d1", "d2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("d1", "d2", "low")
+    first = durable(first, "first-claims")
     spans = durable(claims.join(first, ["d1", "d2"]).where("low < doc").select("row", "place"), "repeats")
-    discard(claims)
+    discard(claims, first)
     return spans
 
 

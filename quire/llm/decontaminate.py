@@ -20,6 +20,7 @@ from quire.llm import words as W
 from quire.runtime import durable
 
 PERMUTATIONS = 48       # an item at containment 0.8 is missed with a chance below 1 in 20,000
+SMALL = 200_000         # hit texts, some 10 MB, up to which their list is sent to the tasks; a longer one is joined by shuffle
 BLOCK_SHINGLES = 2_000_000  # shingles of benchmark items held by a task at once; more items take more passes
 
 _MULTIPLIERS = W.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -187,4 +188,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     """
     keyed = docs.select(F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     hit = contained_items(keyed, items, threshold, id_col="_key", text_col="_text", **options).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = durable(hit, "contaminated")
+    if hit.count() <= SMALL:
+        hit = F.broadcast(hit)
     return docs.join(hit, F.xxhash64(F.col(text_col)) == F.col("_hit"), "left_anti")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
@@ -69,50 +69,53 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def covering_keys(nodes: DataFrame, sigs: list[str], bits: int, radius: int) -> DataFrame:
-    """(table, key, id, sig): each node under every mask of every signature column in ``sigs``, of ``bits`` bits each."""
+def _bucket_rows(nodes: DataFrame, parts: int, bits: int, radius: int) -> DataFrame:
+    """(bucket, part, id): each node under every mask of every part of its signature."""
     masks = covering_masks(list(range(bits)), radius)
-    entries = [F.struct(F.lit(s * len(masks) + t).alias("table"), F.col(sig).bitwiseAND(F.lit(signed(m))).alias("key"), F.col(sig).alias("sig"))
-               for s, sig in enumerate(sigs) for t, m in enumerate(masks)]
-    return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.table", "e.key", "id", "e.sig")
-
-
-def within(a: Column, b: Column, radius: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= radius
-
-
-def covered_components(keys: DataFrame, radius: int, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, canon_id) for ids linked to another: components of all pairs that share a bucket, lie within ``radius`` and pass ``confirm``.
-
-    ``keys`` is (table, key, id, sig) with ids distinct per signature. First every member of a bucket is tested against
-    the bucket's smallest id, which is linear. Then, in buckets of over two members that are not one component yet,
-    members of different components are tested against each other; only pairs within the radius leave that join.
-    Every pair within the radius is thus tested or already connected, and a group of many near copies, connected by
-    the first pass, is never expanded into its pairs. ``confirm`` gets (id_l, id_r), distinct, and returns those that hold.
+    # a bucket is a 64-bit hash of part, mask and masked value; two that fall together only add tests
+    entries = [F.struct(F.xxhash64(F.lit(p * len(masks) + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"))
+               for p in range(parts) for t, m in enumerate(masks)]
+    return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "id")
+
+
+def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int,
+                       confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, canon_id) for ids linked to another: components of all pairs within ``radius`` bits in some part that ``confirm`` keeps.
+
+    ``nodes`` is (id, sigs): distinct ids, and arrays of ``parts`` signatures of ``bits`` bits each. First every member of
+    a bucket is tested against the bucket's smallest id, which is linear. Then, in buckets of over two members that
+    are not one component yet, members of different components are tested against each other; only pairs within the
+    radius leave that join. Every pair within the radius is thus tested or already connected, and a group of many near
+    copies, connected by the first pass, is never expanded into its pairs. ``confirm`` gets (id_l, id_r), distinct, and
+    returns those that hold.
     """
-    keys = durable(keys, "covering-keys")
     confirm = confirm or (lambda pairs: pairs)
-    lead = (keys.groupBy("table", "key").agg(F.min(F.struct("id", "sig")).alias("lead"), F.count("*").alias("n")).where("n > 1"))
-    bucket = [F.col("k.table") == F.col("b.table"), F.col("k.key") == F.col("b.key")]
-    starred = durable(keys.alias("k").join(lead.alias("b"), bucket).select("k.*", "lead", "n"), "covering-buckets")
-    near = (starred.where((F.col("id") != F.col("lead.id")) & within(F.col("sig"), F.col("lead.sig"), radius))
-            .select(F.col("lead.id").alias("id_l"), F.col("id").alias("id_r")).distinct())
+    keys = _bucket_rows(nodes, parts, bits, radius)
+    lead = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    lead = durable(lead, "covering-leads")  # so that the join deals both sides itself and can split a hot bucket
+    met = durable(keys.join(lead, "bucket"), "covering-buckets")
+    pairs = met.where("id <> lead").select(F.col("lead").alias("id_l"), F.col("id").alias("id_r")).distinct()
+    gap = F.array_min(F.zip_with("a.sigs", "b.sigs", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id")).join(nodes.alias("b"), F.col("id_r") == F.col("b.id"))
+                   .where(gap <= radius).select("id_l", "id_r"), "covering-near")
     links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
     groups = connected_components(links, "id_l", "id_r")
 
-    open_ = starred.where("n > 2").select("table", "key", "id", "sig").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
+    open_ = met.where("n > 2").select("bucket", "part", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
         .select("k.*", F.coalesce("g.canon_id", "k.id").alias("canon_id"))
     open_ = durable(open_, "covering-open")
-    parts = open_.groupBy("table", "key", "canon_id").agg(F.count("*").alias("m"))
-    pairs = (parts.alias("a").join(parts.alias("b"), [F.col("a.table") == F.col("b.table"), F.col("a.key") == F.col("b.key"),
-                                                      F.col("a.canon_id") < F.col("b.canon_id")])
-             .select("a.table", "a.key", F.col("a.canon_id").alias("low"), F.col("b.canon_id").alias("high")))
-    left = pairs.alias("p").join(open_.alias("m"), [F.col("p.table") == F.col("m.table"), F.col("p.key") == F.col("m.key"), F.col("p.low") == F.col("m.canon_id")]) \
-        .select("p.*", F.col("m.id").alias("id_a"), F.col("m.sig").alias("sig_a"))
-    crossed = (left.alias("l").join(open_.alias("m"), [F.col("l.table") == F.col("m.table"), F.col("l.key") == F.col("m.key"),
-                                                       F.col("l.high") == F.col("m.canon_id"), within(F.col("l.sig_a"), F.col("m.sig"), radius)])
+    held = durable(open_.select("bucket", "canon_id").distinct(), "covering-held")
+    several = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = durable(open_.join(several, "bucket").join(nodes, "id").select("bucket", "canon_id", "id", F.expr("sigs[part]").alias("sig")), "covering-members")
+    held = held.join(several, "bucket")
+    apart = (held.alias("a").join(held.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.canon_id") < F.col("b.canon_id")])
+             .select("a.bucket", F.col("a.canon_id").alias("low"), F.col("b.canon_id").alias("high")))
+    left = apart.alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.low") == F.col("m.canon_id")]) \
+        .select("p.bucket", "p.high", F.col("m.id").alias("id_a"), F.col("m.sig").alias("sig_a"))
+    crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.high") == F.col("m.canon_id"),
+                                                         F.bit_count(F.col("l.sig_a").bitwiseXOR(F.col("m.sig"))) <= radius])
                .select(F.least("id_a", "m.id").alias("id_l"), F.greatest("id_a", "m.id").alias("id_r")).distinct())
-    crossed = crossed.join(near, ["id_l", "id_r"], "left_anti")
+    crossed = durable(crossed.join(near, ["id_l", "id_r"], "left_anti"), "covering-near")
     more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links")
     if more.isEmpty():
         return groups
@@ -130,8 +133,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     rows = durable(fingerprints(docs, shingle_words, seed), "fingerprints")
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     # the fingerprint itself is the node: unique, also where ids repeat or are null
-    keys = covering_keys(nodes.select(F.col("fp").alias("id"), "fp"), ["fp"], 64, radius)
-    groups = covered_components(keys, radius)
+    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs")), 1, 64, radius)
     groups = nodes.alias("n").join(groups.alias("g"), F.col("n.fp") == F.col("g.id"), "left") \
         .select("fp", "least", F.coalesce("canon_id", "fp").alias("canon"))
     least = groups.groupBy("canon").agg(F.min("least").alias("component_id"))
@@ -144,14 +146,16 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
 PART_BITS = 42   # six positions for each of the seven vectors of radius 2
 PARTS = 12
 FEATURE_WORDS = 2
+FAR = 0.22        # share of differing bits, of all 504, beyond which a pair cannot be similar: 15 % at 0.8, to within 2 %
+SMALL = 200_000   # rows of a list of keys, some 10 MB, up to which it is sent to the tasks; a longer one is joined by shuffle
+_SIGS = [f"sig{i}" for i in range(PARTS)]
 _SALTS = W.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Twelve 42-bit SimHashes of a text's distinct word pairs."""
-    names = [f"sig{i}" for i in range(PARTS)]
-    for part in W.slices(batches, size=W.CHUNK_BYTES // 2):
-        data, offsets = W.text_bytes(part.column(1), lower=True)
+    for part in W.slices(batches, text=2, size=W.CHUNK_BYTES // 2):
+        data, offsets = W.text_bytes(part.column(2), lower=True)
         start, end, first = W.word_bounds(data, offsets)
         values, bounds = W.shingles(W.word_hashes(data, start, end), first, FEATURE_WORDS)
         out = np.zeros((part.num_rows, PARTS), dtype=np.int64)
@@ -160,7 +164,7 @@ def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             wide = W.mix(own[:, None] ^ _SALTS)  # 512 bits per feature
             bits = np.unpackbits(majority(wide.view(np.uint8)), bitorder="little")[:PARTS * PART_BITS].reshape(PARTS, PART_BITS)
             out[d] = bits.astype(np.int64) @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(out[:, i]) for i in range(PARTS)]], names=["unit", *names])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array(out[:, i]) for i in range(PARTS)]], names=["doc_id", "text_key", *_SIGS])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -195,51 +199,66 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     ``keeper`` is true for one row of each group, that of the smallest doc_id (nulls last, then by text).
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"),
-                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    units = durable(source.groupBy("text_key").agg(F.min("doc_id").alias("least")), "dedup-units")
+    source = _keyed(docs, id_col, text_col)
+    rows = durable(source.mapInArrow(_wide_fingerprints, "doc_id long, text_key string, " + ", ".join(f"{s} long" for s in _SIGS)), "dedup-rows")
+    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), *[F.first(s).alias(s) for s in _SIGS]), "dedup-units")
     # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
-    numbered = units.groupBy("least").agg(F.count("*").alias("n"))
-    units = units.alias("u").join(numbered.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least"))).select(
-        "text_key", "u.least", F.when((F.col("n") == 1) & F.col("u.least").isNotNull() & (F.col("u.least") >= 0), F.col("u.least"))
-        .otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
+    shared = units.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 or least is null or least < 0")
+    units = units.alias("u").join(shared.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least")), "left").select(
+        "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
     units = durable(units, "dedup-units")
-    texts = source.alias("s").join(units.alias("u"), [F.col("s.text_key") == F.col("u.text_key"), F.col("s.doc_id").eqNullSafe(F.col("u.least"))]) \
-        .select("u.unit", "s.text")
-    sigs = durable(texts.mapInArrow(_wide_fingerprints, "unit long, " + ", ".join(f"sig{i} long" for i in range(PARTS))).dropDuplicates(["unit"]), "dedup-fingerprints")
-    names = [f"sig{i}" for i in range(PARTS)]
-    keys = covering_keys(sigs.withColumnRenamed("unit", "id"), names, PART_BITS, 2)
+    nodes = units.select(F.col("unit").alias("id"), F.array(*_SIGS).alias("sigs"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        # whole fingerprints first: 504 bits estimate the share of differing ones to within 2 %
-        far = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
+        # whole fingerprints first, then exact sets for what is left
+        sigs = units.select("unit", *_SIGS)
+        differing = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in _SIGS), F.lit(0))
         pairs = pairs.join(sigs.alias("a"), F.col("id_l") == F.col("a.unit")).join(sigs.alias("b"), F.col("id_r") == F.col("b.unit")) \
-            .where(far <= 0.22 * PARTS * PART_BITS).select("id_l", "id_r")
+            .where(differing <= int(FAR * PARTS * PART_BITS)).select("id_l", "id_r")
         pairs = durable(pairs, "dedup-pairs")
-        wanted = pairs.select(F.explode(F.array("id_l", "id_r")).alias("unit")).distinct()
-        sets = durable(texts.join(wanted, "unit", "left_semi").select("unit", "text")
-                       .mapInArrow(lambda b: _shingle_sets(b, shingle_words), "id long, grams binary").dropDuplicates(["id"]), "dedup-sets")
+        wanted = pairs.select(F.explode(F.array("id_l", "id_r")).alias("unit")).distinct().join(units, "unit").select("unit", "text_key", "least")
+        wanted = _checked(durable(wanted, "dedup-wanted"))
+        texts = source.alias("s").join(wanted.alias("w"), [F.col("s.text_key") == F.col("w.text_key"), F.col("s.doc_id").eqNullSafe(F.col("w.least"))]) \
+            .select("w.unit", "s.text")
+        sets = durable(texts.mapInArrow(lambda b: _shingle_sets(b, shingle_words), "id long, grams binary").dropDuplicates(["id"]), "dedup-sets")
         both = (pairs.join(sets.select(F.col("id").alias("id_l"), F.col("grams").alias("grams_l")), "id_l")
                 .join(sets.select(F.col("id").alias("id_r"), F.col("grams").alias("grams_r")), "id_r").select("id_l", "id_r", "grams_l", "grams_r"))
         return both.mapInArrow(lambda b: _similar(b, threshold), "id_l long, id_r long")
 
-    groups = covered_components(keys, 2, confirm)
+    groups = covered_components(nodes, PARTS, PART_BITS, 2, confirm)
     named = units.alias("u").join(groups.alias("g"), F.col("u.unit") == F.col("g.id"), "left") \
         .select("text_key", "least", F.coalesce("canon_id", "unit").alias("group_id"))
     first = named.groupBy("group_id").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "text_key")).alias("first"))
     marked = named.join(first, "group_id").select("text_key", "least", "group_id", (F.col("text_key") == F.col("first.text_key")).alias("one"))
-    return source.select("doc_id", "text_key").alias("s").join(marked.alias("m"), F.col("s.text_key") == F.col("m.text_key")).select(
+    return rows.select("doc_id", "text_key").alias("s").join(marked.alias("m"), F.col("s.text_key") == F.col("m.text_key")).select(
         "s.doc_id", "s.text_key", "group_id", (F.col("one") & F.col("s.doc_id").eqNullSafe(F.col("least"))).alias("keeper"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    """``keys`` to be broadcast if they are few enough, else as they are."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate group: one row of each group, with all its columns.
 
-    Of rows that repeat id and text any one stays. An empty table gives an empty table.
+    Of rows that repeat id and text any one stays. An empty table gives an empty table. What goes is listed, and a
+    list that is short enough is sent to the tasks, so that the texts need not be shuffled.
     """
-    groups = near_duplicate_groups(docs, threshold, shingle_words, id_col, text_col)
-    keep = groups.where("keeper").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    groups = durable(near_duplicate_groups(docs, threshold, shingle_words, id_col, text_col), "dedup-groups")
     marked = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return (marked.join(keep, [F.col("_text_key") == F.col("_key"), F.col(id_col).cast("long").eqNullSafe(F.col("_id"))], "left_semi")
-            .dropDuplicates(["_text_key", id_col]).drop("_text_key"))
+    listed = [F.col("d._text_key") == F.col("g.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.doc_id"))]
+    gone = _checked(groups.where("not keeper").select("doc_id", "text_key").distinct())
+    left = marked.alias("d").join(gone.alias("g"), listed, "left_anti")
+    again = groups.where("keeper").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    if not again.isEmpty():
+        again = _checked(durable(again, "dedup-again"))
+        first = left.alias("d").join(again.alias("g"), listed, "left_semi").dropDuplicates(["_text_key", id_col])
+        left = left.alias("d").join(again.alias("g"), listed, "left_anti").unionByName(first)
+    return left.drop("_text_key")

@@ -156,8 +156,8 @@ def test_simhash_of_a_hot_bucket(spark):
             fp ^= 1 << int(b)
         fps.add(fp)
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(f, f) for f in fps], "id long, fp long")
-    got = {r["id"]: r["canon_id"] for r in simhash.covered_components(simhash.covering_keys(nodes, ["fp"], 64, 2), 2).collect()}
+    nodes = spark.createDataFrame([(f, [f]) for f in fps], "id long, sigs array<long>")
+    got = {r["id"]: r["canon_id"] for r in simhash.covered_components(nodes, 1, 64, 2).collect()}
     root = B.components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert {f: got.get(f, f) for f in fps} == {f: fps[root[i]] for i, f in enumerate(fps)}
 
