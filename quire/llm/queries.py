@@ -81,7 +81,42 @@ def op8_prefix_targets(spark, sf):
     return chat.chat_digests(rows.unionByName(more))
 
 
-@llm_query("op9_pareto_mix")
+_FIRST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_REST = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+MIX_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM documents),
+k AS (SELECT *, length(bin(size)) AS size_class FROM d),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source),
+s1 AS (SELECT *, 3::DOUBLE * ss / w AS ratio FROM s),
+s2 AS (SELECT *, (sum(ss) OVER () - 3::DOUBLE * coalesce(sum(ss) OVER (ORDER BY ratio, source IS NULL, source {_FIRST}), 0))
+    / sum(w) OVER (ORDER BY ratio, source IS NULL, source {_REST}) AS share FROM s1),
+lvl AS (SELECT ratio AS lr, share AS ls FROM s2 WHERE share <= ratio ORDER BY ratio, share LIMIT 1),
+t AS (SELECT source, ss, CASE WHEN ratio >= lr THEN least(ls, ratio) * w ELSE 3::DOUBLE * ss END AS target FROM s2, lvl),
+c AS (SELECT k.source, size_class, CAST(sum(size) AS DOUBLE) AS cs, 1::DOUBLE / (1::DOUBLE + 0.05::DOUBLE * size_class) AS cw, any_value(ss) AS ss, any_value(target) AS target
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY 1, 2),
+c1 AS (SELECT *, (target - 3::DOUBLE * coalesce(sum(cs) OVER (PARTITION BY source ORDER BY size_class {_FIRST}), 0))
+    / sum(cw * cs) OVER (PARTITION BY source ORDER BY size_class {_REST}) AS a FROM c WHERE ss > 0),
+c2 AS (SELECT *, min(CASE WHEN a * cw <= 3 THEN {{'i': size_class, 'a': a}} END) OVER (PARTITION BY source) AS f FROM c1),
+c3 AS (SELECT source, size_class, cs, ss, target, CASE WHEN size_class >= f.i THEN f.a * cw ELSE 3 END AS copies FROM c2),
+c4 AS (SELECT *, floor(copies + 1e-12::DOUBLE) AS whole FROM c3),
+c5 AS (SELECT *, greatest(copies - whole, 0) AS p, target - sum(whole * cs) OVER (PARTITION BY source) AS missing FROM c4),
+j AS (SELECT rid, doc_id, k.source, size, u, t.ss, t.target, coalesce(missing, 0) AS missing, coalesce(whole, 0) AS whole,
+    CASE WHEN p > 0 AND size > 0 THEN least(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * 4503599627370496::DOUBLE), 4503599627370495) END AS rank
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN c5 ON k.source IS NOT DISTINCT FROM c5.source AND k.size_class = c5.size_class),
+x AS (SELECT *, CASE WHEN rank IS NOT NULL AND coalesce(sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, u, doc_id, size, rid {_FIRST}), 0) + size / 2 <= missing
+    THEN 1 ELSE 0 END AS extra FROM j),
+m AS (SELECT source, any_value(target) - CAST(sum((whole + extra) * size) AS DOUBLE) AS miss FROM x GROUP BY 1),
+e AS (SELECT x.source, arg_min(rid, {{'g': abs(miss - size * (1 - 2 * extra)), 'r': rank, 'u': u, 'd': doc_id, 's': size, 'i': rid}}) AS changed
+  FROM x JOIN m ON x.source IS NOT DISTINCT FROM m.source WHERE rank IS NOT NULL AND abs(miss - size * (1 - 2 * extra)) < abs(miss) GROUP BY 1)
+SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
+  CAST(size * (whole + CASE WHEN changed IS NOT DISTINCT FROM rid THEN 1 - extra ELSE extra END) AS BIGINT) AS taken
+FROM x LEFT JOIN e ON x.source IS NOT DISTINCT FROM e.source"""
+
+
+@llm_query("op9_pareto_mix", MIX_SQL)
 def op9_pareto_mix(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
