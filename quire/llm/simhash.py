@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
-from quire.operators.components import connected_components
+from quire.llm.components import components
 from quire.runtime import durable
 
 _ROWS = 1 << 15  # shingles whose bits are unpacked at once
@@ -99,7 +99,7 @@ def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int,
     near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id")).join(nodes.alias("b"), F.col("id_r") == F.col("b.id"))
                    .where(gap <= radius).select("id_l", "id_r"), "covering-near")
     links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
-    groups = connected_components(links, "id_l", "id_r")
+    groups = components(links)
 
     open_ = met.where("n > 2").select("bucket", "part", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
         .select("k.*", F.coalesce("g.canon_id", "k.id").alias("canon_id"))
@@ -119,7 +119,7 @@ def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int,
     more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links")
     if more.isEmpty():
         return groups
-    return connected_components(links.unionByName(more), "id_l", "id_r")
+    return components(links.unionByName(more))
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3, seed: int = 42) -> DataFrame:

@@ -162,6 +162,26 @@ def test_simhash_of_a_hot_bucket(spark):
     assert {f: got.get(f, f) for f in fps} == {f: fps[root[i]] for i, f in enumerate(fps)}
 
 
+def test_components_of_paths_stars_and_loops(spark):
+    from quire.llm.components import components
+    rng = np.random.default_rng(9)
+    order = rng.permutation(3000).tolist()
+    links = list(zip(order[:1000], order[1:1001])) + [(order[1500], x) for x in order[1501:2200]] + [(7, 7)] + [(-5, -9), (-9, -7), (-7, -5)]
+    links += [(int(a), int(b)) for a, b in rng.choice(order[2300:], (300, 2))]
+    got = {r["id"]: r["canon_id"] for r in components(spark.createDataFrame(links, "id_l long, id_r long")).collect()}
+    least = {}
+    for a, b in links:
+        least[a], least[b] = a, b
+    while True:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    assert got == {i: least[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+    assert components(spark.createDataFrame([], "id_l long, id_r long")).count() == 0
+
+
 def test_simhash_of_odd_rows(odd, none):
     got = simhash.simhash_components(odd).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(d for d, *_ in ODD)
