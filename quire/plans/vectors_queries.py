@@ -93,13 +93,8 @@ f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS scor
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf):
     """The BM25 list fused with a list by number of shared words."""
-    from pyspark.sql import Window
-    from quire.functions import text as X
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
-    d = texts(spark, sf, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
-    overlap = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("ov"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("ov"), "doc_id")
-    second = overlap.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    second = V.shared_term_search(q, texts(spark, sf, "doc_id", "text"), 10)
     out = V.hybrid_rrf(_bm25(spark, sf), second, 10)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
