@@ -86,6 +86,19 @@ def candidate_pairs(spark, sf):
     return _pairs(spark, sf, _records(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("candidate_pairs_all_kinds", f"""WITH {_BLOCKS_SQL}, un AS (SELECT name, min(id) AS rep FROM person_names GROUP BY 1),
+ug AS (SELECT rep, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substr(lower(name), i, 3))) AS g FROM un),
+ub AS (SELECT DISTINCT block_key, rep FROM blocks JOIN un ON rep = id),
+cand AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM ub a JOIN ub b ON a.block_key = b.block_key AND a.rep < b.rep),
+met AS (SELECT a AS id_l, b AS id_r, len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(list_concat(x.g, y.g))) AS similarity FROM cand JOIN ug x ON x.rep = a JOIN ug y ON y.rep = b)
+SELECT id_l, id_r, round(similarity, 6) AS similarity FROM met WHERE similarity >= 0.6 - 1e-9
+UNION ALL SELECT rep, id, 1.0 FROM person_names JOIN un ON person_names.name = un.name WHERE id > rep""")
+def candidate_pairs_all_kinds(spark, sf):
+    """Names that share a block of any kind; the copies of a name are tied to its smallest id, which stands for them."""
+    names = person_names(spark, sf).select("id", F.col("name").alias("label"))
+    return L.candidate_pairs(_blocks(spark, sf), names, 0.6, id="id").withColumn("similarity", F.round("similarity", 6))
+
+
 _FEATURES_SQL = f"""{_PAIRS_SQL}, nm AS (SELECT id_l, id_r, lower(a.label) AS x, lower(b.label) AS y, a.type AS type_l, b.type AS type_r, a.label AS label_l, b.label AS label_r FROM kept JOIN recs a ON a.idx = id_l JOIN recs b ON b.idx = id_r),
 feat AS (SELECT *, 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) AS edit_sim, len(list_intersect(tx, ty))::DOUBLE / len(list_distinct(list_concat(tx, ty))) AS token_jaccard,
     CASE WHEN type_l = type_r THEN 1.0::DOUBLE ELSE 0 END AS same_type, 0.0::DOUBLE AS shared_year

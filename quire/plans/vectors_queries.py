@@ -11,7 +11,8 @@ from quire.plans.registry import query, table, texts
 _RANKS = lambda df: df.select("query_id", "corpus_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("embed_text")
+@query("embed_text", r"""SELECT doc_id, CAST(256 AS INTEGER) AS dim,
+  CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: length(x) >= 1)) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm2 FROM documents""")
 def embed_text(spark, sf):
     out = V.embed_text(texts(spark, sf, "doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(dot("embedding", "embedding"), 3).alias("norm2"))

@@ -114,7 +114,7 @@ def proportion_interval(spark, sf):
     return out
 
 
-@query("block_shuffle")
+@query("block_shuffle", "SELECT vec_id, ix, ix // 64 AS block FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ix FROM embeddings)")
 def block_shuffle(spark, sf):
     ix = W.global_index(table(spark, sf, "embeddings").select("vec_id"), ["vec_id"])
-    return S.block_shuffle(ix, "ix", 64, seed=5, epoch=1)
+    return S.block_shuffle(ix, "ix", 64, seed=5, epoch=1).drop("draw")
