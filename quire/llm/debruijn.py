@@ -90,13 +90,14 @@ def compacted_paths(docs: DataFrame, window: int) -> DataFrame:
                                    F.when(follows, F.col("before.n")).alias("prior_n")), "shared-edges")
     discard(edges, counts)
     # both edges occur as often as they occur one after the other: a path goes on
-    joints = shared.where("prior is not null and prior_n = n").groupBy("prior", "edge").agg(F.count("*").alias("together"))
+    joints = durable(shared.where("prior is not null and prior_n = n").groupBy("prior", "edge").agg(F.count("*").alias("together"))
+                     .where("together > 1"), "joints")
     linked = (shared.alias("s").join(joints.alias("j"), [F.col("s.prior") == F.col("j.prior"), F.col("s.edge") == F.col("j.edge")], "left")
               .select("s.row", "s.a", "s.b", F.coalesce((F.col("together") == F.col("n")) & (F.col("prior_n") == F.col("n")), F.lit(False)).alias("joined")))
     paths = linked.withColumn("path", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order))
     paths = durable(paths.groupBy("row", "path").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("b").alias("head"), F.max("a").alias("tail"))
                     .drop("path"), "paths")
-    discard(shared)
+    discard(shared, joints)
     return paths
 
 
