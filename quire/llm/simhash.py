@@ -144,16 +144,16 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
 # --- near-duplicate texts: several short fingerprints propose, exact shingle sets decide
 
 PART_BITS = 42   # six positions for each of the seven vectors of radius 2
-PARTS = 12
+PARTS = 16
 FEATURE_WORDS = 2
-FAR = 0.22        # share of differing bits, of all 504, beyond which a pair cannot be similar: 15 % at 0.8, to within 2 %
+FAR = 0.22        # share of differing bits, of all bits, beyond which a pair cannot be similar: 15 % at 0.8, to within 2 %
 SMALL = 200_000   # rows of a list of keys, some 10 MB, up to which it is sent to the tasks; a longer one is joined by shuffle
 _SIGS = [f"sig{i}" for i in range(PARTS)]
-_SALTS = W.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SALTS = W.mix(np.arange(1, 1 - (-PARTS * PART_BITS // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Twelve 42-bit SimHashes of a text's distinct word pairs."""
+    """``PARTS`` SimHashes of ``PART_BITS`` bits each of a text's distinct word pairs."""
     for part in W.slices(batches, text=2, size=W.CHUNK_BYTES // 2):
         data, offsets = W.text_bytes(part.column(2), lower=True)
         start, end, first = W.word_bounds(data, offsets)
@@ -161,7 +161,7 @@ def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         out = np.zeros((part.num_rows, PARTS), dtype=np.int64)
         for d in range(part.num_rows):
             own = np.unique(values[bounds[d]:bounds[d + 1]])
-            wide = W.mix(own[:, None] ^ _SALTS)  # 512 bits per feature
+            wide = W.mix(own[:, None] ^ _SALTS)  # independent bits for each feature
             bits = np.unpackbits(majority(wide.view(np.uint8)), bitorder="little")[:PARTS * PART_BITS].reshape(PARTS, PART_BITS)
             out[d] = bits.astype(np.int64) @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array(out[:, i]) for i in range(PARTS)]], names=["doc_id", "text_key", *_SIGS])
@@ -193,9 +193,9 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
 
     Two texts are linked when the sets of their ``shingle_words``-word shingles (A-Z lower-cased) have a Jaccard similarity
     of ``threshold`` or more. Equal texts are one unit before. Pairs are proposed by covering LSH of radius 2 over
-    twelve independent 42-bit SimHashes and confirmed on exact sets. A proposal is a matter of chance: 15 % of the
+    sixteen independent 42-bit SimHashes and confirmed on exact sets. A proposal is a matter of chance: 15 % of the
     bits differ between five-word sets of similarity 0.8, but 10 % between the word-pair sets of such texts, so word pairs are the
-    features; 95 % of the pairs at similarity 0.8 are then proposed, 99 % at 0.85.
+    features; 98 % of the pairs at similarity 0.8 are then proposed where words were replaced, over 99 % at 0.85.
     ``keeper`` is true for one row of each group, that of the smallest doc_id (nulls last, then by text).
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
