@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
 from quire.llm.components import components
-from quire.runtime import durable
+from quire.runtime import discard, durable
 
 _ROWS = 1 << 15  # shingles whose bits are unpacked at once
 
@@ -70,24 +70,29 @@ def signed(mask: int) -> int:
 
 
 def _bucket_rows(nodes: DataFrame, parts: int, bits: int, radius: int) -> DataFrame:
-    """(bucket, part, id): each node under every mask of every part of its signature."""
+    """(bucket, part, mask, id): each node under every mask of every part of its signature."""
     masks = covering_masks(list(range(bits)), radius)
     # a bucket is a 64-bit hash of part, mask and masked value; two that fall together only add tests
-    entries = [F.struct(F.xxhash64(F.lit(p * len(masks) + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"))
+    entries = [F.struct(F.xxhash64(F.lit(p * len(masks) + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"), F.lit(t).alias("mask"))
                for p in range(parts) for t, m in enumerate(masks)]
-    return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "id")
+    return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "e.mask", "id")
 
 
-def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int,
+def _differing(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int, wide_radius: int = 0,
                        confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, canon_id) for ids linked to another: components of all pairs within ``radius`` bits in some part that ``confirm`` keeps.
 
-    ``nodes`` is (id, sigs): distinct ids, and arrays of ``parts`` signatures of ``bits`` bits each. First every member of
-    a bucket is tested against the bucket's smallest id, which is linear. Then, in buckets of over two members that
-    are not one component yet, members of different components are tested against each other; only pairs within the
-    radius leave that join. Every pair within the radius is thus tested or already connected, and a group of many near
-    copies, connected by the first pass, is never expanded into its pairs. ``confirm`` gets (id_l, id_r), distinct, and
-    returns those that hold.
+    ``nodes`` is (id, sigs, wide, slack): distinct ids, arrays of ``parts`` signatures of ``bits`` bits each, and a longer
+    signature (an empty array for none) in which a pair may differ in ``wide_radius`` plus ``slack`` bits. First every member of a bucket is
+    tested against the bucket's smallest id, which is linear. Then, in buckets of over two members that are not one
+    component yet, members of different components are tested against each other; only pairs within both radii leave
+    that join. Every pair within the radius is thus tested or already connected, and a group of many near copies,
+    connected by the first pass, is never expanded into its pairs. ``confirm`` gets (id_l, id_r), distinct, and returns
+    those that hold.
     """
     confirm = confirm or (lambda pairs: pairs)
     keys = _bucket_rows(nodes, parts, bits, radius)
@@ -96,27 +101,46 @@ def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int,
     met = durable(keys.join(lead, "bucket"), "covering-buckets")
     pairs = met.where("id <> lead").select(F.col("lead").alias("id_l"), F.col("id").alias("id_r")).distinct()
     gap = F.array_min(F.zip_with("a.sigs", "b.sigs", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
-    near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id")).join(nodes.alias("b"), F.col("id_r") == F.col("b.id"))
-                   .where(gap <= radius).select("id_l", "id_r"), "covering-near")
+    near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id"))
+                   .join(nodes.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= radius,
+                                           _differing("a.wide", "b.wide") <= wide_radius + F.greatest("a.slack", "b.slack")])
+                   .select("id_l", "id_r"), "covering-near")
     links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
     groups = components(links)
 
-    open_ = met.where("n > 2").select("bucket", "part", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
+    open_ = met.where("n > 2").select("bucket", "part", "mask", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
         .select("k.*", F.coalesce("g.canon_id", "k.id").alias("canon_id"))
     open_ = durable(open_, "covering-open")
-    held = durable(open_.select("bucket", "canon_id").distinct(), "covering-held")
-    several = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = durable(open_.join(several, "bucket").join(nodes, "id").select("bucket", "canon_id", "id", F.expr("sigs[part]").alias("sig")), "covering-members")
-    held = held.join(several, "bucket")
-    apart = (held.alias("a").join(held.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.canon_id") < F.col("b.canon_id")])
-             .select("a.bucket", F.col("a.canon_id").alias("low"), F.col("b.canon_id").alias("high")))
-    left = apart.alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.low") == F.col("m.canon_id")]) \
-        .select("p.bucket", "p.high", F.col("m.id").alias("id_a"), F.col("m.sig").alias("sig_a"))
-    crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.high") == F.col("m.canon_id"),
-                                                         F.bit_count(F.col("l.sig_a").bitwiseXOR(F.col("m.sig"))) <= radius])
-               .select(F.least("id_a", "m.id").alias("id_l"), F.greatest("id_a", "m.id").alias("id_r")).distinct())
+    held = durable(open_.groupBy("bucket", "canon_id").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("part").alias("part"), F.first("mask").alias("mask")), "covering-held")
+    several = durable(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "covering-several")
+    signed_ = lambda rows: rows.join(several, "bucket").join(nodes, "id").withColumn("sig", F.expr("sigs[part]")).drop("sigs", "part")
+    held = durable(signed_(held), "covering-held")
+    members = durable(signed_(open_), "covering-members")
+    masks = covering_masks(list(range(bits)), radius)
+
+    def within(a: str, b: str) -> Column:
+        """Both radii hold, and of the masks under which the two agree in this part, this bucket's is the first: a pair is met once."""
+        apart = F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))
+        first = F.lit(len(masks))
+        for t in reversed(range(len(masks))):
+            first = F.when(apart.bitwiseAND(F.lit(signed(masks[t]))) == 0, F.lit(t)).otherwise(first)
+        return ((F.bit_count(apart) <= radius) & (first == F.col(f"{a}.mask"))
+                & (_differing(f"{a}.wide", f"{b}.wide") <= wide_radius + F.greatest(f"{a}.slack", f"{b}.slack")))
+
+    # two components with one member each in a bucket are tested as they meet; larger ones are joined with their members
+    alone = (F.col("a.m") == 1) & (F.col("b.m") == 1)
+    apart = durable(held.alias("a").join(held.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.canon_id") < F.col("b.canon_id"),
+                                                           ~alone | within("a", "b")])
+                    .select("a.bucket", F.col("a.canon_id").alias("low"), F.col("b.canon_id").alias("high"), alone.alias("alone"),
+                            F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")), "covering-apart")
+    left = apart.where("not alone").alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.low") == F.col("m.canon_id")]) \
+        .select("p.bucket", "p.high", "m.id", "m.sig", "m.mask", "m.wide", "m.slack")
+    crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.high") == F.col("m.canon_id"), within("l", "m")])
+               .select(F.col("l.id").alias("id_a"), F.col("m.id").alias("id_b")))
+    crossed = apart.where("alone").select("id_a", "id_b").unionByName(crossed).select(F.least("id_a", "id_b").alias("id_l"), F.greatest("id_a", "id_b").alias("id_r")).distinct()
     crossed = durable(crossed.join(near, ["id_l", "id_r"], "left_anti"), "covering-near")
     more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links")
+    discard(met, lead, near, open_, held, several, members, apart, crossed)
     if more.isEmpty():
         return groups
     return components(links.unionByName(more))
@@ -133,7 +157,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     rows = durable(fingerprints(docs, shingle_words, seed), "fingerprints")
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     # the fingerprint itself is the node: unique, also where ids repeat or are null
-    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs")), 1, 64, radius)
+    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs"), F.array().cast("array<bigint>").alias("wide"), F.lit(0).alias("slack")), 1, 64, radius)
     groups = nodes.alias("n").join(groups.alias("g"), F.col("n.fp") == F.col("g.id"), "left") \
         .select("fp", "least", F.coalesce("canon_id", "fp").alias("canon"))
     least = groups.groupBy("canon").agg(F.min("least").alias("component_id"))
@@ -146,25 +170,49 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
 PART_BITS = 42   # six positions for each of the seven vectors of radius 2
 PARTS = 16
 FEATURE_WORDS = 2
-FAR = 0.22        # share of differing bits, of all bits, beyond which a pair cannot be similar: 15 % at 0.8, to within 2 %
+WIDE = 1024       # bits of a fingerprint of the shingles that are compared in the end; a share is then known to within 1.1 %
+FEW, FEW_SLACK = 64, 0.06  # texts of fewer shingles, whose majorities tie more often, may differ in this share more
+SLACK = 0.028     # added to the share of bits in which sets of the wanted similarity differ (0.152 at 0.8): 2.5 times that
 SMALL = 200_000   # rows of a list of keys, some 10 MB, up to which it is sent to the tasks; a longer one is joined by shuffle
-_SIGS = [f"sig{i}" for i in range(PARTS)]
 _SALTS = W.mix(np.arange(1, 1 - (-PARTS * PART_BITS // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``PARTS`` SimHashes of ``PART_BITS`` bits each of a text's distinct word pairs."""
+_WIDE_SALTS = W.mix(np.arange(1001, 1001 + WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _wide_radius(threshold: float) -> int:
+    """Bits of ``WIDE`` in which sets of Jaccard similarity ``threshold`` or more differ, but for 1 in 160."""
+    share = float(np.arccos(2 * threshold / (1 + threshold))) / np.pi
+    return int((share + SLACK) * WIDE)
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """``PARTS`` SimHashes of ``PART_BITS`` bits each of a text's distinct word pairs, and one of ``WIDE`` bits of its ``k``-word shingles."""
     for part in W.slices(batches, text=2, size=W.CHUNK_BYTES // 2):
         data, offsets = W.text_bytes(part.column(2), lower=True)
         start, end, first = W.word_bounds(data, offsets)
-        values, bounds = W.shingles(W.word_hashes(data, start, end), first, FEATURE_WORDS)
-        out = np.zeros((part.num_rows, PARTS), dtype=np.int64)
+        hashes = W.word_hashes(data, start, end)
+        pairs, pair_bounds = W.shingles(hashes, first, FEATURE_WORDS)
+        grams, gram_bounds = W.shingles(hashes, first, k)
+        sigs, wide = [], []
         for d in range(part.num_rows):
-            own = np.unique(values[bounds[d]:bounds[d + 1]])
-            wide = W.mix(own[:, None] ^ _SALTS)  # independent bits for each feature
-            bits = np.unpackbits(majority(wide.view(np.uint8)), bitorder="little")[:PARTS * PART_BITS].reshape(PARTS, PART_BITS)
-            out[d] = bits.astype(np.int64) @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array(out[:, i]) for i in range(PARTS)]], names=["doc_id", "text_key", *_SIGS])
+            own = np.unique(pairs[pair_bounds[d]:pair_bounds[d + 1]])
+            bits = np.unpackbits(_fingerprint(own, _SALTS), bitorder="little")[:PARTS * PART_BITS].reshape(PARTS, PART_BITS)
+            sigs.append(bits.astype(np.int64) @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64)))
+            wide.append(_fingerprint(np.unique(grams[gram_bounds[d]:gram_bounds[d + 1]]), _WIDE_SALTS).view("<i8"))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x))) for x in (sigs, wide)]
+        slack = np.where(np.diff(gram_bounds) < FEW, int(FEW_SLACK * WIDE), 0).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack)], names=["doc_id", "text_key", "sigs", "wide", "slack"])
+
+
+def _fingerprint(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """64 independent bits of each value for each salt, their majority as bytes."""
+    total = np.zeros(64 * len(salts), dtype=np.int64)
+    for at in range(0, len(values), _ROWS):
+        wide = W.mix(values[at:at + _ROWS, None] ^ salts).view(np.uint8)
+        for b in range(0, len(wide), 255):
+            total += np.unpackbits(wide[b:b + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(values), bitorder="little")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -195,28 +243,24 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     of ``threshold`` or more. Equal texts are one unit before. Pairs are proposed by covering LSH of radius 2 over
     sixteen independent 42-bit SimHashes and confirmed on exact sets. A proposal is a matter of chance: 15 % of the
     bits differ between five-word sets of similarity 0.8, but 10 % between the word-pair sets of such texts, so word pairs are the
-    features; 98 % of the pairs at similarity 0.8 are then proposed where words were replaced, over 99 % at 0.85.
+    features; 98 % of the pairs at similarity 0.8 are then proposed where words were replaced, over 99 % at 0.85. A fingerprint of
+    1,024 bits of the five-word sets rules out proposals that are too far apart before sets are compared.
     ``keeper`` is true for one row of each group, that of the smallest doc_id (nulls last, then by text).
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
     source = _keyed(docs, id_col, text_col)
-    rows = durable(source.mapInArrow(_wide_fingerprints, "doc_id long, text_key string, " + ", ".join(f"{s} long" for s in _SIGS)), "dedup-rows")
-    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), *[F.first(s).alias(s) for s in _SIGS]), "dedup-units")
+    rows = durable(source.mapInArrow(lambda b: _wide_fingerprints(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int"), "dedup-rows")
+    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack")), "dedup-units")
     # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
     shared = units.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 or least is null or least < 0")
     units = units.alias("u").join(shared.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least")), "left").select(
         "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
     units = durable(units, "dedup-units")
-    nodes = units.select(F.col("unit").alias("id"), F.array(*_SIGS).alias("sigs"))
+    nodes = units.select(F.col("unit").alias("id"), "sigs", "wide", "slack")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        # whole fingerprints first, then exact sets for what is left
-        sigs = units.select("unit", *_SIGS)
-        differing = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in _SIGS), F.lit(0))
-        pairs = pairs.join(sigs.alias("a"), F.col("id_l") == F.col("a.unit")).join(sigs.alias("b"), F.col("id_r") == F.col("b.unit")) \
-            .where(differing <= int(FAR * PARTS * PART_BITS)).select("id_l", "id_r")
-        pairs = durable(pairs, "dedup-pairs")
-        wanted = pairs.select(F.explode(F.array("id_l", "id_r")).alias("unit")).distinct().join(units, "unit").select("unit", "text_key", "least")
+        wanted = pairs.select(F.col("id_l").alias("unit")).unionByName(pairs.select(F.col("id_r").alias("unit"))).distinct()
+        wanted = wanted.join(units, "unit").select("unit", "text_key", "least")
         wanted = _checked(durable(wanted, "dedup-wanted"))
         texts = source.alias("s").join(wanted.alias("w"), [F.col("s.text_key") == F.col("w.text_key"), F.col("s.doc_id").eqNullSafe(F.col("w.least"))]) \
             .select("w.unit", "s.text")
@@ -225,7 +269,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
                 .join(sets.select(F.col("id").alias("id_r"), F.col("grams").alias("grams_r")), "id_r").select("id_l", "id_r", "grams_l", "grams_r"))
         return both.mapInArrow(lambda b: _similar(b, threshold), "id_l long, id_r long")
 
-    groups = covered_components(nodes, PARTS, PART_BITS, 2, confirm)
+    groups = covered_components(nodes, PARTS, PART_BITS, 2, _wide_radius(threshold), confirm)
     named = units.alias("u").join(groups.alias("g"), F.col("u.unit") == F.col("g.id"), "left") \
         .select("text_key", "least", F.coalesce("canon_id", "unit").alias("group_id"))
     first = named.groupBy("group_id").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "text_key")).alias("first"))
