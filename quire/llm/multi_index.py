@@ -85,7 +85,8 @@ def hamming_top_k(base: DataFrame, queries: DataFrame, k: int, bits: int = 64) -
         for j in reversed(range(m)):
             first = F.when(gap[j] == s, F.lit(j)).otherwise(first)
         distance = F.bit_count(F.col("p.q").bitwiseXOR(F.col("i.code")))
-        met = probes.alias("p").join(index.alias("i"), [F.col("p.seg") == F.col("i.seg"), F.col("p.value") == F.col("i.value"),
+        # a probe table is far larger than the queries it is made of: never broadcast it by their size
+        met = probes.alias("p").hint("merge").join(index.alias("i"), [F.col("p.seg") == F.col("i.seg"), F.col("p.value") == F.col("i.value"),
                                                         nearest == s, first == F.col("p.seg"), distance <= F.col("p.bound")]) \
             .select("p.q", "i.code", "i.held", distance.cast("int").alias("distance"))
         best = met if best is None else best.unionByName(met)
