@@ -184,8 +184,12 @@ def _blocks(sets: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]]:
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
-    Hits are found per text, so rows with null or repeated ids are judged by their own texts.
+    Hits are found per text on both sides: rows with null or repeated ids are judged by their own texts, and an item
+    counts whether it has an id or not.
     """
+    item_text = options.get("item_text", "text")
+    items = items.select(F.xxhash64(F.col(item_text)).alias("_item"), F.col(item_text).alias("_text"))
+    options |= {"item_col": "_item", "item_text": "_text"}
     keyed = docs.select(F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     hit = contained_items(keyed, items, threshold, id_col="_key", text_col="_text", **options).select(F.col("doc_id").alias("_hit")).distinct()
     hit = durable(hit, "contaminated")

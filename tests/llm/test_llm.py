@@ -123,6 +123,16 @@ def test_containment_of_odd_rows(spark, none):
     assert decontaminate.drop_contaminated(docs, none, item_col="doc_id").count() == len(rows)
 
 
+def test_documents_with_an_item_without_id_are_dropped(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    docs = made(spark, [(1, f"before {item} after", "a"), (2, "t0 t1 t2", "a"), (None, item, "a"), (3, "u0 u1 u2 u3 u4 u5 u6", "a")])
+    bench = spark.createDataFrame([(None, item), (None, "u1 u2 u3 u4 u5"), (None, None), (7, "elsewhere")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+    named = bench.withColumnRenamed("text", "passage")
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, named, item_text="passage").collect()] == [2]
+    assert decontaminate.contained_items(docs, bench).count() == 0
+
+
 def test_items_in_blocks(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contained_items(docs, bench).collect()))
