@@ -165,51 +165,57 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# --- near-duplicate texts: several short fingerprints propose, exact shingle sets decide
+# --- near-duplicate texts: MinHash bands propose, a long SimHash rules out far pairs, exact shingle sets decide
 
-PART_BITS = 42   # six positions for each of the seven vectors of radius 2
-PARTS = 16
-FEATURE_WORDS = 2
-WIDE = 1024       # bits of a fingerprint of the shingles that are compared in the end; a share is then known to within 1.1 %
+PARTS, BAND = 48, 5  # all five minima of a part agree with chance J ** 5, whatever was edited: at 0.8 all 48 parts miss with 1 in 190 million
+WIDE = 2048       # bits of a fingerprint of the shingles that are compared in the end
 FEW, FEW_SLACK = 64, 0.06  # texts of fewer shingles, whose majorities tie more often, may differ in this share more
-SLACK = 0.028     # added to the share of bits in which sets of the wanted similarity differ (0.152 at 0.8): 2.5 times that
+SLACK = 0.04      # added to the share of bits in which sets of the wanted similarity differ (0.152 at 0.8): five times its deviation
 SMALL = 200_000   # rows of a list of keys, some 10 MB, up to which it is sent to the tasks; a longer one is joined by shuffle
-_SALTS = W.mix(np.arange(1, 1 - (-PARTS * PART_BITS // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
+_MULTIPLIERS = W.mix(np.arange(2001, 2001 + PARTS * BAND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WIDE_SALTS = W.mix(np.arange(1001, 1001 + WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _wide_radius(threshold: float) -> int:
-    """Bits of ``WIDE`` in which sets of Jaccard similarity ``threshold`` or more differ, but for 1 in 160."""
+    """Bits of ``WIDE`` in which sets of Jaccard similarity ``threshold`` or more differ, but for 1 in 3 million."""
     share = float(np.arccos(2 * threshold / (1 + threshold))) / np.pi
     return int((share + SLACK) * WIDE)
 
 
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """``PARTS`` SimHashes of ``PART_BITS`` bits each of a text's distinct word pairs, and one of ``WIDE`` bits of its ``k``-word shingles."""
+def _bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(sets, ``PARTS``): a hash of each part's minima of the sets ``values[bounds[i]:bounds[i + 1]]``, none of them empty."""
+    out = np.empty((len(bounds) - 1, PARTS), dtype=np.uint64)
+    for p in range(PARTS):
+        band = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        for m in _MULTIPLIERS[p * BAND:(p + 1) * BAND]:
+            band = W.mix(band ^ np.minimum.reduceat(values * m, bounds[:-1])) + m
+        out[:, p] = band
+    return out.view(np.int64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """``PARTS`` band hashes of a text's ``k``-word shingles (none for a text without words), and their SimHash of ``WIDE`` bits."""
     for part in W.slices(batches, text=2, size=W.CHUNK_BYTES // 2):
         data, offsets = W.text_bytes(part.column(2), lower=True)
         start, end, first = W.word_bounds(data, offsets)
-        hashes = W.word_hashes(data, start, end)
-        pairs, pair_bounds = W.shingles(hashes, first, FEATURE_WORDS)
-        grams, gram_bounds = W.shingles(hashes, first, k)
-        sigs, wide = [], []
-        for d in range(part.num_rows):
-            own = np.unique(pairs[pair_bounds[d]:pair_bounds[d + 1]])
-            bits = np.unpackbits(_fingerprint(own, _SALTS), bitorder="little")[:PARTS * PART_BITS].reshape(PARTS, PART_BITS)
-            sigs.append(bits.astype(np.int64) @ (np.int64(1) << np.arange(PART_BITS, dtype=np.int64)))
-            wide.append(_fingerprint(np.unique(grams[gram_bounds[d]:gram_bounds[d + 1]]), _WIDE_SALTS).view("<i8"))
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x))) for x in (sigs, wide)]
-        slack = np.where(np.diff(gram_bounds) < FEW, int(FEW_SLACK * WIDE), 0).astype(np.int32)
+        grams, bounds = W.shingles(W.word_hashes(data, start, end), first, k)
+        counts = np.diff(bounds)
+        some = np.flatnonzero(counts)
+        sigs = _bands(grams, np.append(bounds[some], len(grams))) if len(some) else np.zeros((0, PARTS), dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum((counts > 0) * PARTS)]).astype(np.int32)
+        wide = [_fingerprint(np.unique(grams[a:b]), _WIDE_SALTS).view("<i8") for a, b in zip(bounds, bounds[1:])]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs.ravel())),
+                 pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(wide)))]
+        slack = np.where(counts < FEW, int(FEW_SLACK * WIDE), 0).astype(np.int32)
         yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack)], names=["doc_id", "text_key", "sigs", "wide", "slack"])
 
 
 def _fingerprint(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """64 independent bits of each value for each salt, their majority as bytes."""
     total = np.zeros(64 * len(salts), dtype=np.int64)
-    for at in range(0, len(values), _ROWS):
-        wide = W.mix(values[at:at + _ROWS, None] ^ salts).view(np.uint8)
+    rows = _ROWS // len(salts)
+    for at in range(0, len(values), rows):
+        wide = W.mix(values[at:at + rows, None] ^ salts).view(np.uint8)
         for b in range(0, len(wide), 255):
             total += np.unpackbits(wide[b:b + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * total > len(values), bitorder="little")
@@ -240,23 +246,23 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     """(doc_id, text_key, group_id, keeper) for every row: groups of texts connected by near-duplicate links.
 
     Two texts are linked when the sets of their ``shingle_words``-word shingles (A-Z lower-cased) have a Jaccard similarity
-    of ``threshold`` or more. Equal texts are one unit before. Pairs are proposed by covering LSH of radius 2 over
-    sixteen independent 42-bit SimHashes and confirmed on exact sets. A proposal is a matter of chance: 15 % of the
-    bits differ between five-word sets of similarity 0.8, but 10 % between the word-pair sets of such texts, so word pairs are the
-    features; 98 % of the pairs at similarity 0.8 are then proposed where words were replaced, over 99 % at 0.85. A fingerprint of
-    1,024 bits of the five-word sets rules out proposals that are too far apart before sets are compared.
+    of ``threshold`` or more. Equal texts are one unit before. Pairs are proposed when all five minima of one of 48 parts
+    agree, and confirmed on exact sets. A proposal is a matter of chance, but a minimum agrees with a chance equal to the
+    similarity itself, so it does not matter whether words were replaced or blocks added, cut or replaced: a pair at
+    similarity 0.8 is not proposed with chance 5e-9, a more similar one with less. A SimHash of 2,048 bits of the same
+    sets rules out proposals that are too far apart before sets are compared; it takes away a pair at 0.8 with chance 3e-7.
     ``keeper`` is true for one row of each group, that of the smallest doc_id (nulls last, then by text).
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
     source = _keyed(docs, id_col, text_col)
-    rows = durable(source.mapInArrow(lambda b: _wide_fingerprints(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int"), "dedup-rows")
+    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int"), "dedup-rows")
     units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack")), "dedup-units")
     # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
     shared = units.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 or least is null or least < 0")
     units = units.alias("u").join(shared.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least")), "left").select(
         "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
     units = durable(units, "dedup-units")
-    nodes = units.select(F.col("unit").alias("id"), "sigs", "wide", "slack")
+    nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("id_l").alias("unit")).unionByName(pairs.select(F.col("id_r").alias("unit"))).distinct()
@@ -269,7 +275,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
                 .join(sets.select(F.col("id").alias("id_r"), F.col("grams").alias("grams_r")), "id_r").select("id_l", "id_r", "grams_l", "grams_r"))
         return both.mapInArrow(lambda b: _similar(b, threshold), "id_l long, id_r long")
 
-    groups = covered_components(nodes, PARTS, PART_BITS, 2, _wide_radius(threshold), confirm)
+    groups = covered_components(nodes, PARTS, 64, 0, _wide_radius(threshold), confirm)
     named = units.alias("u").join(groups.alias("g"), F.col("u.unit") == F.col("g.id"), "left") \
         .select("text_key", "least", F.coalesce("canon_id", "unit").alias("group_id"))
     first = named.groupBy("group_id").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "text_key")).alias("first"))

@@ -218,6 +218,59 @@ def test_near_duplicates(spark, docs, rows, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def edited_pairs():
+    """Pairs of texts with 0.80 to 0.86 of their shingles in common: a block added, cut or replaced at the start, middle or end, or single words replaced."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (30, 70, 200, 700):
+        for kind in ("added", "cut", "replaced", "scattered"):
+            for place in (0, n // 2, n):
+                for _ in range(3):
+                    d = len(rows) // 2
+                    w = [f"d{d}w{i}" for i in range(n)]
+                    block = [f"d{d}b{i}" for i in range(n)]
+                    if kind == "added":
+                        size = int(0.22 * (n - 4)) - 4 * (0 < place < n)
+                        v = w[:place] + block[:size] + w[place:]
+                    elif kind == "cut":
+                        size = int(0.17 * (n - 4)) - 3 * (0 < place < n)
+                        at = min(place, n - size)
+                        v = w[:at] + w[at + size:]
+                    elif kind == "replaced":
+                        size = max(1, int(0.1 * (n - 4)) - 4 * (0 < place < n))
+                        at = min(place, n - size)
+                        v = w[:at] + block[:size] + w[at + size:]
+                    else:
+                        v = list(w)
+                        for i in rng.choice(np.arange(2, n - 2), max(1, int(0.019 * n)), replace=False):
+                            v[i] = block[i]
+                    rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(v))]
+    return rows
+
+
+def test_near_duplicates_with_edited_blocks(spark):
+    rows = edited_pairs()
+    sets = [set(B.shingles(t, 5)) for _, t in rows]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    wanted = [d for d, s in enumerate(share) if 0.8 <= s < 0.86]
+    assert len(wanted) >= 80
+    groups = simhash.near_duplicate_groups(made(spark, [(d, t, "s") for d, t in rows])).collect()
+    group = {r["doc_id"]: r["group_id"] for r in groups}
+    assert [d for d, s in enumerate(share) if (group[2 * d] == group[2 * d + 1]) != (s >= 0.8)] == []
+    assert len(set(group.values())) == len(B.near_groups(rows))
+
+
+def test_minima_of_a_part_agree_with_the_chance_of_the_similarity():
+    rng, agreed = np.random.default_rng(3), []
+    for n in (25, 60, 200, 800):
+        for _ in range(50):
+            both, left = simhash.W.mix(rng.integers(0, 1 << 63, n + n // 4).astype(np.uint64)), rng.integers(0, n // 4 + 1)
+            a, b = both[:n + left], np.concatenate([both[:n], both[n + left:]])
+            x, y = simhash._bands(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            agreed.append((x == y).sum())
+    expected = simhash.PARTS * 0.8 ** simhash.BAND
+    assert min(agreed) >= 3 and abs(np.mean(agreed) - expected) < 0.08 * expected
+
+
 # 4
 def test_pii(spark, docs, rows):
     text = dict(rows)
