@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, debruijn, decontaminate, mixing, multi_index, pii, sharding, simhash, token_store, toxicity
+from quire.llm import chat, debruijn, decontaminate, mixing, multi_index, periodic, pii, sharding, simhash, token_store, toxicity
 from quire.llm.registry import LLM_CATALOG, llm_query, table
 
 
@@ -125,3 +125,10 @@ def op9_pareto_mix(spark, sf):
 def op10_rank_coded_ids(spark, sf):
     import public_tokenizers
     return token_store.token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2).drop("shard")
+
+
+@llm_query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    docs = table(spark, sf, "documents")
+    planted = docs.select("doc_id", periodic.repeat_tails(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.run_digests(periodic.collapse_runs(planted, min_length=24, min_exponent=3))
