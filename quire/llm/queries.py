@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, debruijn, decontaminate, mixing, multi_index, periodic, pii, sharding, simhash, token_store, toxicity
+from quire.llm import chat, debruijn, decontaminate, mixing, multi_index, packing, periodic, pii, sharding, simhash, token_store, toxicity, whitening
 from quire.llm.registry import LLM_CATALOG, llm_query, table
 
 
@@ -127,6 +127,17 @@ def op10_rank_coded_ids(spark, sf):
     return token_store.token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2).drop("shard")
 
 
+@llm_query("op11_dominance_packing")
+def op11_dominance_packing(spark, sf):
+    import public_tokenizers
+    return packing.packed_pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+@llm_query("op12_spectrum_slicing")
+def op12_spectrum_slicing(spark, sf):
+    return whitening.whitened_rows(table(spark, sf, "embeddings"), components=32)
+
+
 @llm_query("op13_periodic_runs")
 def op13_periodic_runs(spark, sf):
     docs = table(spark, sf, "documents")

@@ -15,9 +15,9 @@ CHUNK_BYTES = 2 << 20  # text handled at once; a longer single text is handled w
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
-LOWER_BYTES = _LOWER.tobytes()
+LOWER_TABLE = np.arange(256, dtype=np.uint8)
+LOWER_TABLE[ord("A"):ord("Z") + 1] += 32
+LOWER_BYTES = LOWER_TABLE.tobytes()
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,7 +75,7 @@ def text_bytes(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     if data is None:
         return np.zeros(0, dtype=np.uint8), offsets - offsets[0]
     data = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]]
-    return (_LOWER[data] if lower else data), offsets - offsets[0]
+    return (LOWER_TABLE[data] if lower else data), offsets - offsets[0]
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
