@@ -220,21 +220,6 @@ def cosine_matrix(df: DataFrame, id: str, vec: str, max_rows: int = 1000) -> Dat
     return all_pairs(unit, id, max_rows).select(f"{id}_l", f"{id}_r", dot_product("_v_l", "_v_r").alias("cosine"))
 
 
-def similarity_threshold_pairs(df: DataFrame, id: str, vec: str, t: float, max_queries: int = MAX_QUERIES) -> DataFrame:
-    """(id_l, id_r, score): pairs with cosine above ``t``. Only these leave the tasks; the others are never rows."""
-    unit = df.select(F.col(id).alias("corpus_id"), l2_normalize(vec).alias("vector"))
-
-    def keep(ids, matrix, parts):
-        for corpus_ids, vectors in parts:
-            scores = np.round(matrix @ vectors.T, DECIMALS)
-            hits = [(ids[i], corpus_ids[j], float(scores[i, j])) for i, j in zip(*np.nonzero(scores > t)) if ids[i] < corpus_ids[j]]
-            if hits:
-                yield pd.DataFrame(hits, columns=["query_id", "corpus_id", "score"])
-
-    pairs = _score_blocks(unit.withColumnRenamed("corpus_id", "query_id"), unit, keep, ["query_id", "corpus_id", "score"], max_queries)
-    return pairs.select(F.col("query_id").alias(f"{id}_l"), F.col("corpus_id").alias(f"{id}_r"), "score")
-
-
 def mmr_rerank(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int = 20, lam: float = 0.5) -> DataFrame:
     """(query_id, corpus_id, rank): maximal marginal relevance over the ``fetch_k`` nearest of each query.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import dot_product as dot, l2_normalize as unit
+from quire.operators import metric
 from quire.operators import vectors as V
 from quire.plans.fixtures import works
 from quire.plans.linkage_queries import HITS_SQL, label_queries, vector_corpus
@@ -52,10 +53,19 @@ def cosine_matrix(spark, sf):
     return V.cosine_matrix(c, "label", "vector").withColumn("cosine", F.round("cosine", 6))
 
 
-@query("similarity_threshold_pairs", f"WITH {_C_SQL} SELECT a.label AS label_l, b.label AS label_r, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM c a JOIN c b ON a.label < b.label WHERE list_cosine_similarity(a.v, b.v) > 0.05")
+_DISTINCT_SQL = "u AS (SELECT min(vec_id) AS vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)"
+
+
+@query("similarity_threshold_pairs", f"""WITH {_DISTINCT_SQL}, p AS (SELECT a.vec_id AS vec_id_l, b.vec_id AS vec_id_r, round(list_cosine_similarity(a.v, b.v), 12) AS score
+  FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT vec_id_l, vec_id_r, round(score, 6) AS score FROM p WHERE score > 0.4""")
 def similarity_threshold_pairs(spark, sf):
-    c = V.centroids(table(spark, sf, "embeddings"), "label", "embedding")
-    return V.similarity_threshold_pairs(c, "label", "vector", 0.05).withColumn("score", F.round("score", 6))
+    """The whole table. Its vectors are unrelated, so the threshold is below the usual 0.65, where it has no pairs."""
+    return metric.similarity_threshold_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).withColumn("score", F.round("score", 6))
+
+
+@query("equal_vectors", "SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS vec_id_rep FROM embeddings WHERE embedding IS NOT NULL")
+def equal_vectors(spark, sf):
+    return metric.equal_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
 @query("dot_product", f"WITH {_C_SQL} SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], v), 6) AS dot FROM embeddings e JOIN c ON e.label = c.label")

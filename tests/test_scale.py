@@ -148,13 +148,6 @@ def test_knn_in_place_and_in_blocks(spark, max_queries):
         assert [got[i][n] for n in (1, 2, 3, 4)] == np.argsort(-(c @ q[i]), kind="stable")[:4].tolist()
 
 
-@pytest.mark.parametrize("max_queries", [7, 1000])
-def test_similarity_pairs(spark, max_queries):
-    m, df = _vectors(spark, 60, seed=4)
-    got = {(r.corpus_id_l, r.corpus_id_r) for r in V.similarity_threshold_pairs(df, "corpus_id", "vector", 0.6, max_queries).collect()}
-    assert got == {(a, b) for a, b in combinations(range(60), 2) if m[a] @ m[b] > 0.6}
-
-
 def test_bad_vectors_are_left_out(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [])], "corpus_id long, vector array<double>")
     queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
