@@ -185,14 +185,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
     Hits are found per text on both sides: rows with null or repeated ids are judged by their own texts, and an item
-    counts whether it has an id or not.
+    counts whether it has an id or not. Other columns stay as they are, whatever their names.
     """
     item_text = options.get("item_text", "text")
     items = items.select(F.xxhash64(F.col(item_text)).alias("_item"), F.col(item_text).alias("_text"))
     options |= {"item_col": "_item", "item_text": "_text"}
     keyed = docs.select(F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    hit = contained_items(keyed, items, threshold, id_col="_key", text_col="_text", **options).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = contained_items(keyed, items, threshold, id_col="_key", text_col="_text", **options).select(F.col("doc_id").alias("hit")).distinct()
     hit = durable(hit, "contaminated")
     if hit.count() <= SMALL:
         hit = F.broadcast(hit)
-    return docs.join(hit, F.xxhash64(F.col(text_col)) == F.col("_hit"), "left_anti")
+    return docs.alias("d").join(hit.alias("h"), F.xxhash64(F.col(f"d.{text_col}")) == F.col("h.hit"), "left_anti").select("d.*")

@@ -132,13 +132,14 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Copies are joined back by text digest, id and source. Rows that repeat all three appear as one row repeated as often
     as all of them are taken.
     """
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     mixed = mix_documents(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = mixed.where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"))
-    same = [F.col("d._text_key") == F.col("c.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("c.doc_id")),
-            F.col(f"d.{source_col}").eqNullSafe(F.col("c.source"))]
-    return (keyed.alias("d").join(copies.alias("c"), same).select("d.*", "_copies").dropDuplicates(["_text_key", id_col, source_col])
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns))
+    copies = mixed.where("copies > 0").groupBy("doc_id", "source", "text_key").agg(F.sum("copies").cast("int").alias("copies"))
+    row = F.struct(*[F.col(c) for c in docs.columns])  # so that the names of its columns meet no others
+    keyed = docs.select(row.alias("doc"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_key"),
+                        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source")).dropDuplicates(["text_key", "doc_id", "source"])
+    same = [F.col("d.text_key") == F.col("c.text_key"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.source").eqNullSafe(F.col("c.source"))]
+    return (keyed.alias("d").join(copies.alias("c"), same).select("d.doc", F.explode(F.sequence(F.lit(1), F.col("c.copies"))))
+            .select("doc.*"))
 
 
 def _nearest(every: DataFrame) -> DataFrame:

@@ -20,3 +20,11 @@ def llm_query(key: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores before it until no column of ``df`` is called so (names do not differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

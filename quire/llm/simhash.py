@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import words as W
 from quire.llm.components import components
+from quire.llm.registry import free_name
 from quire.runtime import discard, durable
 
 _ROWS = 1 << 15  # shingles whose bits are unpacked at once
@@ -69,12 +70,17 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _bucket_rows(nodes: DataFrame, parts: int, bits: int, radius: int) -> DataFrame:
+def _masks(radii: list[int], bits: int) -> list[list[int]]:
+    """The covering masks of each part's radius; radius 0 is the one mask of all bits."""
+    return [covering_masks(list(range(bits)), r) for r in radii]
+
+
+def _bucket_rows(nodes: DataFrame, masks: list[list[int]]) -> DataFrame:
     """(bucket, part, mask, id): each node under every mask of every part of its signature."""
-    masks = covering_masks(list(range(bits)), radius)
+    most = max(map(len, masks))
     # a bucket is a 64-bit hash of part, mask and masked value; two that fall together only add tests
-    entries = [F.struct(F.xxhash64(F.lit(p * len(masks) + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"), F.lit(t).alias("mask"))
-               for p in range(parts) for t, m in enumerate(masks)]
+    entries = [F.struct(F.xxhash64(F.lit(p * most + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"), F.lit(t).alias("mask"))
+               for p, several in enumerate(masks) for t, m in enumerate(several)]
     return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "e.mask", "id")
 
 
@@ -82,68 +88,82 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def covered_components(nodes: DataFrame, parts: int, bits: int, radius: int, wide_radius: int = 0,
+def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_radius: int = 0, size_ratio: float = 0.0,
                        confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, canon_id) for ids linked to another: components of all pairs within ``radius`` bits in some part that ``confirm`` keeps.
-
-    ``nodes`` is (id, sigs, wide, slack): distinct ids, arrays of ``parts`` signatures of ``bits`` bits each, and a longer
-    signature (an empty array for none) in which a pair may differ in ``wide_radius`` plus ``slack`` bits. First every member of a bucket is
-    tested against the bucket's smallest id, which is linear. Then, in buckets of over two members that are not one
-    component yet, members of different components are tested against each other; only pairs within both radii leave
-    that join. Every pair within the radius is thus tested or already connected, and a group of many near copies,
-    connected by the first pass, is never expanded into its pairs. ``confirm`` gets (id_l, id_r), distinct, and returns
-    those that hold.
+    """(id, canon_id) for ids linked to another: components of all pairs within a part's radius in that part that ``confirm`` keeps.
+
+    ``nodes`` is (id, sigs, wide, slack, n): distinct ids, arrays of one signature of ``bits`` bits per entry of ``radii``, a
+    longer signature (an empty array for none) in which a pair may differ in ``wide_radius`` plus ``slack`` bits, and a size: the
+    smaller of a pair must reach ``size_ratio`` of the larger. First every member of a bucket is tested against the bucket's smallest id,
+    which is linear. Then, in buckets of over two members that are not one component yet, members of different components
+    are tested against each other: the smaller component of a pair is written out member by member and meets the members of the
+    larger one in a join that lets only pairs within all bounds leave. Every pair within the radius is thus tested or
+    already connected, and a group of many near copies, connected by the first pass, is never expanded into its
+    pairs. ``confirm`` gets (id_l, id_r), distinct, and returns those that hold.
     """
     confirm = confirm or (lambda pairs: pairs)
-    keys = _bucket_rows(nodes, parts, bits, radius)
+    masks = _masks(radii, bits)
+    keys = _bucket_rows(nodes, masks)
     lead = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     lead = durable(lead, "covering-leads")  # so that the join deals both sides itself and can split a hot bucket
     met = durable(keys.join(lead, "bucket"), "covering-buckets")
     pairs = met.where("id <> lead").select(F.col("lead").alias("id_l"), F.col("id").alias("id_r")).distinct()
-    gap = F.array_min(F.zip_with("a.sigs", "b.sigs", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+
+    def alike(a: str, b: str) -> Column:
+        return ((F.least(f"{a}.n", f"{b}.n") >= size_ratio * F.greatest(f"{a}.n", f"{b}.n"))
+                & (_differing(f"{a}.wide", f"{b}.wide") <= wide_radius + F.greatest(f"{a}.slack", f"{b}.slack")))
+
+    apart = F.zip_with("a.sigs", "b.sigs", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    gap = F.array_min(F.zip_with(apart, F.array(*[F.lit(r) for r in radii]), lambda d, r: d - r))
     near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id"))
-                   .join(nodes.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= radius,
-                                           _differing("a.wide", "b.wide") <= wide_radius + F.greatest("a.slack", "b.slack")])
+                   .join(nodes.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= 0, alike("a", "b")])
                    .select("id_l", "id_r"), "covering-near")
     links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
     groups = components(links)
 
-    open_ = met.where("n > 2").select("bucket", "part", "mask", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
+    # buckets that hold several components, and their members by component; a bucket of two has met already
+    placed = met.where("n > 2").select("bucket", "part", "mask", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
         .select("k.*", F.coalesce("g.canon_id", "k.id").alias("canon_id"))
-    open_ = durable(open_, "covering-open")
-    held = durable(open_.groupBy("bucket", "canon_id").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("part").alias("part"), F.first("mask").alias("mask")), "covering-held")
+    open_ = durable(placed, "covering-open")
+    discard(met)
+    held = durable(open_.groupBy("bucket", "canon_id").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("part").alias("part"), F.first("mask").alias("mask")), "covering-components")
     several = durable(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "covering-several")
-    signed_ = lambda rows: rows.join(several, "bucket").join(nodes, "id").withColumn("sig", F.expr("sigs[part]")).drop("sigs", "part")
-    held = durable(signed_(held), "covering-held")
-    members = durable(signed_(open_), "covering-members")
-    masks = covering_masks(list(range(bits)), radius)
+    signed_ = lambda rows: rows.join(nodes, "id").withColumn("sig", F.expr("sigs[part]")).drop("sigs", "part")
+    ones = durable(signed_(held.where("m = 1").join(several, "bucket")), "covering-ones")
 
     def within(a: str, b: str) -> Column:
-        """Both radii hold, and of the masks under which the two agree in this part, this bucket's is the first: a pair is met once."""
-        apart = F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))
-        first = F.lit(len(masks))
-        for t in reversed(range(len(masks))):
-            first = F.when(apart.bitwiseAND(F.lit(signed(masks[t]))) == 0, F.lit(t)).otherwise(first)
-        return ((F.bit_count(apart) <= radius) & (first == F.col(f"{a}.mask"))
-                & (_differing(f"{a}.wide", f"{b}.wide") <= wide_radius + F.greatest(f"{a}.slack", f"{b}.slack")))
-
-    # two components with one member each in a bucket are tested as they meet; larger ones are joined with their members
-    alone = (F.col("a.m") == 1) & (F.col("b.m") == 1)
-    apart = durable(held.alias("a").join(held.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.canon_id") < F.col("b.canon_id"),
-                                                           ~alone | within("a", "b")])
-                    .select("a.bucket", F.col("a.canon_id").alias("low"), F.col("b.canon_id").alias("high"), alone.alias("alone"),
-                            F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")), "covering-apart")
-    left = apart.where("not alone").alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.low") == F.col("m.canon_id")]) \
-        .select("p.bucket", "p.high", "m.id", "m.sig", "m.mask", "m.wide", "m.slack")
-    crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.high") == F.col("m.canon_id"), within("l", "m")])
+        """All bounds hold, and of the masks under which the two agree in this part, this bucket's is the first: a pair is met once a part."""
+        xor = F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))
+        most = max(masks, key=len)
+        first = F.lit(len(most))
+        for t in reversed(range(len(most))):
+            first = F.when(xor.bitwiseAND(F.lit(signed(most[t]))) == 0, F.lit(t)).otherwise(first)
+        return (F.bit_count(xor) <= max(radii)) & (first == F.col(f"{a}.mask")) & alike(a, b)
+
+    # components of one member each meet directly
+    alone = ones.alias("a").join(ones.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.id") < F.col("b.id"), within("a", "b")]) \
+        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    # of others the smaller one's members meet the larger one's
+    some = held.join(several, "bucket").select("bucket", "canon_id", "m")
+    size = lambda x: F.struct(f"{x}.m", f"{x}.canon_id")
+    facing = durable(some.alias("a").join(some.where("m > 1").alias("b"), [F.col("a.bucket") == F.col("b.bucket"), size("a") < size("b")])
+                     .select("a.bucket", F.col("a.canon_id").alias("small"), F.col("b.canon_id").alias("large")), "covering-facing")
+    wanted = facing.select("bucket", F.col("small").alias("canon_id")).unionByName(facing.select("bucket", F.col("large").alias("canon_id"))).distinct()
+    members = durable(signed_(open_.join(wanted, ["bucket", "canon_id"])), "covering-members")
+    left = facing.alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.small") == F.col("m.canon_id")]) \
+        .select("p.bucket", "p.large", "m.id", "m.sig", "m.mask", "m.wide", "m.slack", "m.n")
+    crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.large") == F.col("m.canon_id"), within("l", "m")])
                .select(F.col("l.id").alias("id_a"), F.col("m.id").alias("id_b")))
-    crossed = apart.where("alone").select("id_a", "id_b").unionByName(crossed).select(F.least("id_a", "id_b").alias("id_l"), F.greatest("id_a", "id_b").alias("id_r")).distinct()
+    crossed = alone.unionByName(crossed).select(F.least("id_a", "id_b").alias("id_l"), F.greatest("id_a", "id_b").alias("id_r")).distinct()
     crossed = durable(crossed.join(near, ["id_l", "id_r"], "left_anti"), "covering-near")
     more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links")
-    discard(met, lead, near, open_, held, several, members, apart, crossed)
+    discard(lead, near, open_, held, several, ones, facing, members, crossed)
     if more.isEmpty():
+        discard(links, more)
         return groups
-    return components(links.unionByName(more))
+    groups = components(links.unionByName(more))
+    discard(links, more)
+    return groups
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3, seed: int = 42) -> DataFrame:
@@ -157,7 +177,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     rows = durable(fingerprints(docs, shingle_words, seed), "fingerprints")
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     # the fingerprint itself is the node: unique, also where ids repeat or are null
-    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs"), F.array().cast("array<bigint>").alias("wide"), F.lit(0).alias("slack")), 1, 64, radius)
+    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs"), F.array().cast("array<bigint>").alias("wide"), F.lit(0).alias("slack"), F.lit(1).alias("n")), [radius])
     groups = nodes.alias("n").join(groups.alias("g"), F.col("n.fp") == F.col("g.id"), "left") \
         .select("fp", "least", F.coalesce("canon_id", "fp").alias("canon"))
     least = groups.groupBy("canon").agg(F.min("least").alias("component_id"))
@@ -165,9 +185,10 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# --- near-duplicate texts: MinHash bands propose, a long SimHash rules out far pairs, exact shingle sets decide
+# --- near-duplicate texts: covering SimHash and, for pairs beyond its radius, MinHash bands propose, a long SimHash rules out far pairs, exact shingle sets decide
 
-PARTS, BAND = 48, 5  # all five minima of a part agree with chance J ** 5, whatever was edited: at 0.8 all 48 parts miss with 1 in 190 million
+RADIUS = 2           # of the covering tables of the 64-bit SimHash: 7 masks
+PARTS, BAND = 41, 5  # all five minima of a part agree with chance J ** 5, whatever was edited: at 0.8 all 41 parts miss with 1 in 12 million
 WIDE = 2048       # bits of a fingerprint of the shingles that are compared in the end
 FEW, FEW_SLACK = 64, 0.06  # texts of fewer shingles, whose majorities tie more often, may differ in this share more
 SLACK = 0.04      # added to the share of bits in which sets of the wanted similarity differ (0.152 at 0.8): five times its deviation
@@ -194,7 +215,7 @@ def _bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """``PARTS`` band hashes of a text's ``k``-word shingles (none for a text without words), and their SimHash of ``WIDE`` bits."""
+    """A 64-bit SimHash and ``PARTS`` band hashes of a text's ``k``-word shingles (none for a text without words), their SimHash of ``WIDE`` bits and their number."""
     for part in W.slices(batches, text=2, size=W.CHUNK_BYTES // 2):
         data, offsets = W.text_bytes(part.column(2), lower=True)
         start, end, first = W.word_bounds(data, offsets)
@@ -202,12 +223,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         counts = np.diff(bounds)
         some = np.flatnonzero(counts)
         sigs = _bands(grams, np.append(bounds[some], len(grams))) if len(some) else np.zeros((0, PARTS), dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum((counts > 0) * PARTS)]).astype(np.int32)
-        wide = [_fingerprint(np.unique(grams[a:b]), _WIDE_SALTS).view("<i8") for a, b in zip(bounds, bounds[1:])]
+        ends = np.concatenate([[0], np.cumsum((counts > 0) * (1 + PARTS))]).astype(np.int32)
+        sets = [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:])]
+        wide = [_fingerprint(x, _WIDE_SALTS).view("<i8") for x in sets]
+        sigs = np.hstack([np.array([wide[i][:1] for i in some], dtype=np.int64).reshape(-1, 1), sigs])  # 64 of the bits are the short SimHash
+        distinct = np.array([len(x) for x in sets], dtype=np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs.ravel())),
                  pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(wide)))]
         slack = np.where(counts < FEW, int(FEW_SLACK * WIDE), 0).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack)], names=["doc_id", "text_key", "sigs", "wide", "slack"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack), pa.array(distinct)], names=["doc_id", "text_key", "sigs", "wide", "slack", "n"])
 
 
 def _fingerprint(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -246,23 +270,25 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     """(doc_id, text_key, group_id, keeper) for every row: groups of texts connected by near-duplicate links.
 
     Two texts are linked when the sets of their ``shingle_words``-word shingles (A-Z lower-cased) have a Jaccard similarity
-    of ``threshold`` or more. Equal texts are one unit before. Pairs are proposed when all five minima of one of 48 parts
-    agree, and confirmed on exact sets. A proposal is a matter of chance, but a minimum agrees with a chance equal to the
-    similarity itself, so it does not matter whether words were replaced or blocks added, cut or replaced: a pair at
-    similarity 0.8 is not proposed with chance 5e-9, a more similar one with less. A SimHash of 2,048 bits of the same
+    of ``threshold`` or more. Equal texts are one unit before. Covering SimHash proposes every pair whose 64-bit fingerprints differ in at
+    most two bits. Pairs at 0.8 mostly differ in more, so those whose five minima of one of 41 parts agree are proposed too; exact
+    sets confirm. A minimum agrees with a chance equal to the similarity itself, so it does not matter whether words were
+    replaced or blocks added, cut or replaced: a pair at similarity 0.8 is not proposed with chance 8e-8, a more similar one with less. A SimHash of 2,048 bits of the same
     sets rules out proposals that are too far apart before sets are compared; it takes away a pair at 0.8 with chance 3e-7.
     ``keeper`` is true for one row of each group, that of the smallest doc_id (nulls last, then by text).
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
     source = _keyed(docs, id_col, text_col)
-    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int"), "dedup-rows")
-    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack")), "dedup-units")
+    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int, n int"), "dedup-rows")
+    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack"), F.first("n").alias("n")), "dedup-unit-rows")
     # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
-    shared = units.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 or least is null or least < 0")
+    shared = units.groupBy("least").agg(F.count("*").alias("several")).where("several > 1 or least is null or least < 0")
+    raw = units
     units = units.alias("u").join(shared.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least")), "left").select(
         "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
     units = durable(units, "dedup-units")
-    nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack")
+    discard(raw)
+    nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack", "n")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("id_l").alias("unit")).unionByName(pairs.select(F.col("id_r").alias("unit"))).distinct()
@@ -275,7 +301,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
                 .join(sets.select(F.col("id").alias("id_r"), F.col("grams").alias("grams_r")), "id_r").select("id_l", "id_r", "grams_l", "grams_r"))
         return both.mapInArrow(lambda b: _similar(b, threshold), "id_l long, id_r long")
 
-    groups = covered_components(nodes, PARTS, 64, 0, _wide_radius(threshold), confirm)
+    groups = covered_components(nodes, [RADIUS] + PARTS * [0], 64, _wide_radius(threshold), threshold, confirm)
     named = units.alias("u").join(groups.alias("g"), F.col("u.unit") == F.col("g.id"), "left") \
         .select("text_key", "least", F.coalesce("canon_id", "unit").alias("group_id"))
     first = named.groupBy("group_id").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "text_key")).alias("first"))
@@ -302,13 +328,14 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle_words:
     list that is short enough is sent to the tasks, so that the texts need not be shuffled.
     """
     groups = durable(near_duplicate_groups(docs, threshold, shingle_words, id_col, text_col), "dedup-groups")
-    marked = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    listed = [F.col("d._text_key") == F.col("g.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.doc_id"))]
+    key = free_name(docs, "text_key")
+    marked = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    listed = [F.col(f"d.{key}") == F.col("g.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.doc_id"))]
     gone = _checked(groups.where("not keeper").select("doc_id", "text_key").distinct())
     left = marked.alias("d").join(gone.alias("g"), listed, "left_anti")
     again = groups.where("keeper").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
     if not again.isEmpty():
         again = _checked(durable(again, "dedup-again"))
-        first = left.alias("d").join(again.alias("g"), listed, "left_semi").dropDuplicates(["_text_key", id_col])
+        first = left.alias("d").join(again.alias("g"), listed, "left_semi").dropDuplicates([key, id_col])
         left = left.alias("d").join(again.alias("g"), listed, "left_anti").unionByName(first)
-    return left.drop("_text_key")
+    return left.select(docs.columns)

@@ -20,106 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import encoding
+from quire.llm import words as W
 from quire.runtime import scratch_path
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 1_000_000  # entries of a worker's word cache, some 200 MB; a word beyond them is encoded again
 
 _ID_BLOCKS = "shard int, block int, start_in_shard long, doc_ids array<long>, counts array<int>, ids binary"
 _CODED = "shard int, block int, start_in_shard long, doc_ids array<long>, counts array<int>, control binary, data binary"
 
-_tokenizers: dict[str, object] = {}
-_caches: dict[str, _WordCache] = {}
-
-
-def _tokenizer(path: str):
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-    from tokenizers import Tokenizer
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
-
-
-def _piece_starts(path: str) -> np.ndarray:
-    """Whether a token begins with a space or a line feed, by id."""
-    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-    for text, i in vocabulary.items():
-        out[i] = text[:1] in ("Ġ", "Ċ")  # how a byte-level vocabulary writes these bytes
-    return out
-
-
-class _WordCache:
-    """Ids of pieces of text (a word with the space or line feed before it), as bytes, kept by a worker."""
-
-    def __init__(self, path: str):
-        self.tok, self.known = _tokenizer(path), {}
-        self.starts = _piece_starts(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.tails = {x: self.plain(x) for x in ".,"}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes() if text else b""
-
-    def encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at:at + 20_000]
-            raw = self.plain("".join([w if w[0] == "\n" else " " + w for w in part]))
-            cuts = (4 * np.append(np.flatnonzero(self.starts[np.frombuffer(raw, dtype=np.uint32)]), len(raw) // 4)).tolist()
-            if len(cuts) != len(part) + 1:
-                raise ValueError("the tokenizer joined words across white space")
-            out.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        return out
-
-
-def _odd(word: str) -> bool:
-    """Whether a piece is empty or has other white space at an end: its space then belongs to a longer run."""
-    return not word or word[-1].isspace() or word[0].isspace() and (word[0] != "\n" or word[1].isspace())
-
-
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of whole texts, the same as encoding each at once, with repeated words encoded once per worker.
-
-    A byte-level tokenizer never joins text across a single space or line feed between two other characters, so such
-    a text is its words, each with the character before it. Unseen words are encoded together in one call and cut
-    where a token begins with that character. A text with longer runs of white space, or with a special token's
-    string, is encoded as it stands.
-    """
-    cache = _caches.get(path) or _caches.setdefault(path, _WordCache(path))
-    known, whole = cache.known, set()
-    pieces = [t.replace("\n", " \n").split(" ") for t in texts]
-    found = [list(map(known.get, words[1:])) for words in pieces]
-    unseen: dict[str, None] = {}
-    for n, (text, words, got) in enumerate(zip(texts, pieces, found)):
-        missing = [w for w, g in zip(words[1:], got) if g is None] if None in got else []
-        if words[0][-1:].isspace() or any(map(_odd, missing)) or any(x in text for x in cache.special):
-            whole.add(n)
-        else:
-            unseen.update(dict.fromkeys(missing))
-    # a full stop or comma after a letter is a token of its own
-    parts = {w: w[:-1] if w[-1] in cache.tails and w[-2:-1].isalpha() else w for w in unseen}
-    new = {w: known[w] for w in parts.values() if w in known}
-    new |= cache.encode_new([w for w in dict.fromkeys(parts.values()) if w not in new])
-    new |= {w: new[p] + cache.tails[w[-1]] for w, p in parts.items() if w != p}
-    if len(known) < CACHE_WORDS:
-        known.update(new)
-    out = []
-    for n, (words, got) in enumerate(zip(pieces, found)):
-        if n in whole:
-            raw = cache.plain(texts[n])
-        else:
-            if None in got:
-                got = [new[w] if g is None else g for w, g in zip(words[1:], got)]
-            raw = cache.plain(words[0]) + b"".join(got)
-        out.append(np.frombuffer(raw, dtype=np.uint32))
-    return out
-
-
 def _id_blocks(path: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quire.llm.words import slices
+        enc = encoding.encoder(path)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -136,12 +48,12 @@ def _id_blocks(path: str, end_id: int, block_tokens: int):
             block, start, ids, docs, held = block + 1, start + held, [], [], 0
             return row
 
-        for part in slices(batches, size=1 << 19):
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            for doc, x in zip(part.column(0).to_pylist(), encode_texts(texts, path)):
-                ids.append(np.append(x, np.uint32(end_id)))
+        for part in W.slices(batches, size=1 << 20):
+            found, bounds = encoding.with_end(*enc.encode(part.column(1)), end_id)
+            for doc, a, b in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                ids.append(found[a:b])
                 docs.append(doc)
-                held += len(ids[-1])
+                held += b - a
                 if held >= block_tokens:
                     yield flush()
         if ids:
@@ -181,14 +93,15 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     """Encode every whole text, append ``end_id``, and write the store at ``path`` in ascending id order.
 
     Null ids come first, a null or empty text is the end id alone, repeated ids and rows are kept one after another
-    (ties by text), other columns are ignored, an empty table gives an empty store. Texts are range-partitioned and
+    (in no particular order, and dealt to several tasks where they are many), other columns are ignored, an empty table gives an empty store. Texts are range-partitioned and
     tokenized once; the ids are counted over the whole corpus; the rank table has one entry per vocabulary entry
     at most, which bounds what goes through the driver and to the tasks. A task that is run again writes the same blocks.
     """
     spark = docs.sparkSession
     staged = scratch_path(spark, "token-ids")
-    placed = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-              .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit(""))))
+    order = ["doc_id", "digest", "row"]
+    placed = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"), F.monotonically_increasing_id().alias("row"))
+              .repartitionByRange(*order).sortWithinPartitions(*order))
     placed.mapInArrow(_id_blocks(tokenizer_path, end_id, block_tokens), _ID_BLOCKS) \
         .write.option("compression", "zstd").parquet(staged)
     blocks = spark.read.schema(_ID_BLOCKS).parquet(staged)

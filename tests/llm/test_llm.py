@@ -166,8 +166,8 @@ def test_simhash_of_a_hot_bucket(spark):
             fp ^= 1 << int(b)
         fps.add(fp)
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(f, [f], [], 0) for f in fps], "id long, sigs array<long>, wide array<long>, slack int")
-    got = {r["id"]: r["canon_id"] for r in simhash.covered_components(nodes, 1, 64, 2).collect()}
+    nodes = spark.createDataFrame([(f, [f], [], 0, 1) for f in fps], "id long, sigs array<long>, wide array<long>, slack int, n int")
+    got = {r["id"]: r["canon_id"] for r in simhash.covered_components(nodes, [2]).collect()}
     root = B.components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert {f: got.get(f, f) for f in fps} == {f: fps[root[i]] for i, f in enumerate(fps)}
 
@@ -510,15 +510,15 @@ def test_rank_codes():
         assert len(control) == -(-n // 4) and (token_store.decode_ranks(control, data, n) == ranks).all()
 
 
-def test_word_cache_gives_the_tokenizers_ids(monkeypatch):
+def test_pieces_give_the_tokenizers_ids(monkeypatch):
     import public_tokenizers
-    from tokenizers import Tokenizer
+    import pyarrow as pa
+    from quire.llm import encoding
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [" x", "x ", "", "a  b\n c d", "a\nb", "\nb c", "a \nb", "a\n b", "a\n\nb", "a.\nB, c", "x., y.. z", "1. 2, b.", "a\u00a0b c \u2003 d", "don't do 's 't", "a \x1c b", "\t a", "ab, <|endoftext|> c"]
-    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
-    monkeypatch.setattr(token_store, "_caches", {})
-    assert [x.tolist() for x in token_store.encode_texts(texts, path)] == want
-    assert [x.tolist() for x in token_store.encode_texts(texts, path)] == want
-    monkeypatch.setattr(token_store, "CACHE_WORDS", 0)
-    monkeypatch.setattr(token_store, "_caches", {})
-    assert [x.tolist() for x in token_store.encode_texts(texts, path)] == want
+    for kept in (encoding.CACHE_PIECES, 0):
+        monkeypatch.setattr(encoding, "CACHE_PIECES", kept)
+        enc = encoding.Encoder(path)
+        for _ in range(2):
+            ids, bounds = enc.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -64,3 +65,15 @@ def test_every_stage_on_what_the_one_before_kept(spark):
         start += len(ids)
 
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, got))
+
+    # columns that the stages' own names could meet come through with their values
+    names = ["_score", "score", "_hit", "hit", "_copies", "copies", "_copy", "_text_key", "text_key", "DOC", "draw", "_row", "group_id", "keeper"]
+    marked = kept["toxicity"][0].select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names])
+    plain = {r["doc_id"] for r in kept["toxicity"][1].collect()}
+    for stage, own in ((lambda d: toxicity.drop_toxic(d, classifier), plain), (lambda d: corpus_pipeline.drop_near_copies(spark, d, SF), None),
+                       (lambda d: corpus_pipeline.drop_benchmark(spark, d, SF), None), (lambda d: corpus_pipeline.mix_sources(spark, d, SF), None)):
+        out = stage(marked)
+        assert out.columns == marked.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+        assert own is None or {r["doc_id"] for r in got} == own
