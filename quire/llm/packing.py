@@ -180,10 +180,18 @@ def make_plan(counts: np.ndarray, capacity: int) -> Plan:
     return Plan(np.array(steps, dtype=np.int64).reshape(-1, 6), bins, bound, fixed)
 
 
-# --- carried out on Spark
+# --- carried out on Spark; ids of a piece or a sequence are one zstd frame in files and shuffles
+
+def _compressed(ids: bytes | np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(ids, asbytes=True)
+
+
+def _plain(frame: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(frame, size, asbytes=True)
+
 
 def _cut(path: str, end_id: int, capacity: int):
-    """Rows (doc_id, piece, start, length, id_bytes, ids): each text's ids with the end id, cut after every ``capacity``."""
+    """Rows (doc_id, piece, start, length, id_bytes, ids): each text's ids with the end id, cut after every ``capacity``, compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(path)
         wide = max(enc.tok.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
@@ -195,8 +203,8 @@ def _cut(path: str, end_id: int, capacity: int):
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = piece * capacity
             ends = np.minimum(bounds[doc] + start + capacity, bounds[doc + 1])
-            raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((np.append(0, ends) * size).astype(np.int32).tobytes()),
-                                                               pa.py_buffer(ids.astype(kind).tobytes())])
+            ids = ids.astype(kind)
+            raw = pa.array([_compressed(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(ends - bounds[doc] - start, pa.int64()),
                  pa.array(np.full(len(doc), size), pa.int32()), raw], names=["doc_id", "piece", "start", "length", "id_bytes", "ids"])
@@ -223,7 +231,9 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
 
     def row(parts: list[tuple]) -> tuple:
-        return (parts[0][0], parts[0][6], b"".join(p[7] for p in parts),
+        size = parts[0][6]
+        ids = parts[0][7] if len(parts) == 1 else _compressed(b"".join(_plain(p[7], size * p[5]) for p in parts))
+        return (parts[0][0], size, ids,
                 [{"doc_id": p[2], "piece": p[3], "start": p[4], "length": p[5], "offset": p[1]} for p in parts])
 
     def batch() -> pa.RecordBatch:
@@ -251,7 +261,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, c
     """Write ``docs`` packed into sequences of at most ``capacity`` ids at ``path``; the plan is returned.
 
     Every whole text is encoded, ``end_id`` appended, and only longer ones are cut, into full pieces and a last shorter
-    one. Rows of the written table are sequences: sequence_id, ids (little-endian, ``id_bytes`` each) and the pieces in
+    one. Rows of the written table are sequences: sequence_id, ids (a zstd frame of little-endian numbers, ``id_bytes`` each) and the pieces in
     them (doc_id, piece, start, length, offset), without gaps. A null or empty text is the end id alone; null ids and
     repeated rows are documents of their own; other columns are ignored; an empty table gives an empty folder of files.
     Texts are encoded once and never shuffled; ids are, twice. Pieces are ranked within their length by a range sort of
@@ -280,7 +290,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, c
     short = pieces.where(F.col("length") < capacity).join(placed, "row").select(columns) \
         .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.col("row") + plan.bins).withColumn("offset", F.lit(0).cast("long")).select(columns)
-    short.mapInArrow(_sequences, _SEQUENCES).unionByName(full.mapInArrow(_sequences, _SEQUENCES)).write.option("compression", "zstd").parquet(path)
+    short.mapInArrow(_sequences, _SEQUENCES).unionByName(full.mapInArrow(_sequences, _SEQUENCES)).write.option("compression", "uncompressed").parquet(path)
     discard(pieces, ordered, placed)
     return plan
 
@@ -290,10 +300,9 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i in range(part.num_rows):
-                kind = "<u4" if part.column(1)[i].as_py() == 4 else "<u2"
-                ids = np.frombuffer(part.column(2)[i].as_buffer(), dtype=kind).astype("<u4")
-                rows = part.column(3)[i].values
+                size, rows = part.column(1)[i].as_py(), part.column(3)[i].values
                 offset, length = np.asarray(rows.field("offset")), np.asarray(rows.field("length"))
+                ids = np.frombuffer(_plain(part.column(2)[i].as_py(), size * int(length.sum())), dtype=f"<u{size}").astype("<u4")
                 crc = [zlib.crc32(ids[a:a + n]) for a, n in zip(offset.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [rows.field("doc_id"), rows.field("piece"), rows.field("start"), rows.field("length"), pa.array(crc, pa.int64()),
