@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +22,6 @@ from quire.functions.vectors import dot_product, l2_normalize, valid_vector
 from quire.runtime import durable, take_bounded
 
 MAX_QUERIES = 4096     # vectors sent to every task at most
-MAX_ASKED = 1_000_000  # (query, term) pairs sent to every task at most; more take more passes
 BLOCK_ROWS = 20_000    # corpus vectors per block beyond that
 DECIMALS = 12          # scores are compared at this precision, so summation order cannot change a rank
 
@@ -249,86 +246,6 @@ def mmr_rerank(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch_k: int =
     return found.groupBy("query_id").applyInPandas(pick, schema)
 
 
-def _top_by_terms(queries: DataFrame, docs: DataFrame, k: int, min_len: int, saturation: tuple[float, float] | None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` best documents of each query by the terms they share.
-
-    With ``saturation`` (k1, b) the score is BM25, else the number of distinct shared terms. The terms of the queries
-    are shipped in blocks of at most ``MAX_ASKED`` (query, term) pairs; every task scores its documents where they are
-    and keeps ``k`` per query, so tasks x queries x k rows are shuffled, whatever the number of matches.
-    """
-    spark = docs.sparkSession
-    asked = durable(queries.select("query_id", F.explode(F.array_distinct(X.tokens("text", min_len))).alias("term")), "asked")
-    tokenised = docs.select("doc_id", F.explode(F.array(X.tokens("text", min_len))).alias("t"))
-    n_docs, mean_len = tokenised.agg(F.count("*"), F.avg(F.size("t"))).first()
-    blocks = asked.count() // MAX_ASKED + 1
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    if saturation:
-        used = asked.select("term").distinct()
-        seen = tokenised.select(F.explode(F.array_distinct("t")).alias("term")).join(used, "term", "left_semi")
-        asked = durable(asked.join(seen.groupBy("term").agg(F.count("*").alias("df")), "term"), "asked")
-    else:
-        asked = asked.withColumn("df", F.lit(0))
-    schema = T.StructType([queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    arrow_schema = to_arrow_schema(schema)
-
-    def scorer(ids: list, terms: dict):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple]] = [[] for _ in ids]
-            tile = max(1, 2_000_000 // max(1, len(ids)))
-            for batch in batches:
-                for at in range(0, batch.num_rows, tile):
-                    part = batch.slice(at, tile)
-                    names, scores = part.column(0).to_pylist(), np.zeros((part.num_rows, len(ids)))
-                    for d, tokens in enumerate(part.column(1).to_pylist()):
-                        for term, tf in Counter(t for t in tokens or () if t in terms).items():
-                            who, idf = terms[term]
-                            if saturation:
-                                k1, b = saturation
-                                scores[d, who] += idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean_len))
-                            else:
-                                scores[d, who] += 1
-                    scores = np.round(scores, 9)
-                    floor = np.partition(scores, max(0, len(names) - k), axis=0)[max(0, len(names) - k)]
-                    for d, q in zip(*np.nonzero((scores >= floor) & (scores > 0))):
-                        best[q].append((-scores[d, q], names[d]))
-                    best = [sorted(x)[:k] for x in best]
-            rows = [(ids[q], name, -float(score)) for q, x in enumerate(best) for score, name in x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow_schema)], schema=arrow_schema)
-        return run
-
-    found = None
-    for block in range(blocks):
-        ids: dict = {}
-        terms: dict = {}
-        for r in asked.where(F.col("_block") == block).collect():  # at most about MAX_ASKED small rows
-            who, _ = terms.setdefault(r["term"], ([], math.log(1 + (n_docs - r["df"] + 0.5) / (r["df"] + 0.5))))
-            who.append(ids.setdefault(r["query_id"], len(ids)))
-        terms = {t: (np.array(who), idf) for t, (who, idf) in terms.items()}
-        hits = tokenised.mapInArrow(scorer(list(ids), terms), schema)
-        found = hits if found is None else found.unionByName(hits)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, min_len: int = 2) -> DataFrame:
-    """(query_id, doc_id, score, rank): keyword ranking of ``docs(doc_id, text)`` for ``queries(query_id, text)``."""
-    return _top_by_terms(queries, docs, k, min_len, (k1, b))
-
-
-def shared_term_search(queries: DataFrame, docs: DataFrame, k: int, min_len: int = 2) -> DataFrame:
-    """(query_id, doc_id, score, rank): ranking by the number of distinct terms a document shares with the query."""
-    return _top_by_terms(queries, docs, k, min_len, None)
-
-
-def hybrid_rrf(a: DataFrame, b: DataFrame, k: int, c: int = 60) -> DataFrame:
-    """(query_id, doc_id, score, rank): two ranked lists fused by the sum of 1 / (c + rank)."""
-    both = a.select("query_id", "doc_id", "rank").unionByName(b.select("query_id", "doc_id", "rank"))
-    fused = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (F.lit(c) + F.col("rank"))), DECIMALS).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def chunk_metadata_join(chunks: DataFrame, works: DataFrame) -> DataFrame:
     """Chunks with the primary contributor and the first production date of their record (null when missing)."""
     primary = F.get(F.filter("contributors", lambda c: c["primary"]), F.lit(0))["agent"]["label"]

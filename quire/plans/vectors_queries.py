@@ -1,9 +1,13 @@
 """2.12 Embeddings and vector search."""
 
+from string import ascii_lowercase
+
 from pyspark.sql import functions as F
 
+from quire.functions.text import once
 from quire.functions.vectors import dot_product as dot, l2_normalize as unit
 from quire.operators import metric
+from quire.operators import retrieval as R
 from quire.operators import vectors as V
 from quire.plans.fixtures import works
 from quire.plans.linkage_queries import HITS_SQL, label_queries, vector_corpus
@@ -90,7 +94,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 def _bm25(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.bm25_search(q, texts(spark, sf, "doc_id", "text"), 10)
+    return R.bm25_search(q, texts(spark, sf, "doc_id", "text"), 10)
 
 
 @query("bm25_search", f"WITH {_BM25_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
@@ -98,18 +102,37 @@ def bm25_search(spark, sf):
     return _bm25(spark, sf).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_LETTERS_OF = lambda t: "[" + ", ".join(f"(length(lower({t})) - length(replace(lower({t}), '{c}', '')))::DOUBLE" for c in ascii_lowercase) + "]"
+
+
+def _letter_profile(text):
+    """Letter counts of a text as a unit vector: an embedding that SQL can say too."""
+    count = lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in ascii_lowercase])
+    return once(once(F.lower(text), count), lambda v: F.when(F.exists(v, lambda x: x > 0), unit(v)))
+
+
 @query("hybrid_rrf", f"""WITH {_BM25_SQL},
-cv AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS ov FROM qt JOIN tf USING (term) GROUP BY 1, 2)),
-f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM cv WHERE rank <= 10) GROUP BY 1, 2)
+bl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+dv AS MATERIALIZED (SELECT doc_id, list_transform(v, lambda x: x / z) AS v FROM (SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS z FROM (SELECT doc_id, {_LETTERS_OF('text')} AS v FROM documents)) WHERE z > 0),
+qv AS MATERIALIZED (SELECT query_id, list_transform(v, lambda x: x / z) AS v FROM (SELECT query_id, v, sqrt(list_dot_product(v, v)) AS z FROM (SELECT item_id AS query_id, {_LETTERS_OF('text')} AS v FROM benchmark)) WHERE z > 0),
+vl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qv.v, dv.v), 9) DESC, doc_id) AS rank FROM qv, dv),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM bl UNION ALL SELECT * FROM vl) GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf):
-    """The BM25 list fused with a list by number of shared words."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    second = V.shared_term_search(q, texts(spark, sf, "doc_id", "text"), 10)
-    out = V.hybrid_rrf(_bm25(spark, sf), second, 10)
+    """Full BM25 lists fused with full lists by a vector; the letter profile stands for an embedder."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", _letter_profile(F.col("text")).alias("vector"))
+    docs = texts(spark, sf, "doc_id", "text").withColumn("vector", _letter_profile(F.col("text")))
+    out = R.hybrid_rrf(q, docs, 10)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("shared_term_search", f"""WITH {_BM25_SQL}, cv AS (SELECT query_id, doc_id, count(*) AS score FROM qt JOIN tf USING (term) GROUP BY 1, 2)
+SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cv) WHERE rank <= 10""")
+def shared_term_search(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.shared_term_search(q, texts(spark, sf, "doc_id", "text"), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("filtered_knn", f"""WITH {_C_SQL}, f AS (SELECT c.label AS query_id, vec_id AS corpus_id, round(list_dot_product(v, embedding::DOUBLE[]), 12) AS score FROM c, embeddings e WHERE e.label IN (2, 3, 5))
 SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM f) WHERE rank <= 5""")
 def filtered_knn(spark, sf):
