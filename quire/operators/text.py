@@ -214,21 +214,6 @@ def sentiment_lexicon(df: DataFrame, id: str, text: str, lexicon: DataFrame, neg
     return df.join(means, id, "left").select(id, filled("polarity"), filled("subjectivity"))
 
 
-def entity_mentions(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_words: int = 3) -> DataFrame:
-    """(id, sentence_idx, entity_text, entity_label): gazetteer phrases of 1..max_words words and years (DATE).
-
-    ``gazetteer`` has ``entity_text`` (lower case, single spaces) and ``entity_label``. One row per occurrence.
-    """
-    sents = sentence_split(df.select(id, text), id, text)
-    toks = X.tokens("sentence", 1)
-    grams = sents.withColumn("_t", toks).select(id, "sentence_idx", F.explode(
-        F.concat(*[X.ngram_array("_t", n) for n in range(1, max_words + 1)])).alias("entity_text"))
-    named = grams.join(gazetteer.select("entity_text", "entity_label"), "entity_text")
-    dates = sents.select(id, "sentence_idx", F.explode(F.regexp_extract_all(
-        F.col("sentence"), F.lit(K.YEAR_PATTERN), F.lit(0))).alias("entity_text"), F.lit("DATE").alias("entity_label"))
-    return named.select(id, "sentence_idx", "entity_text", "entity_label").unionByName(dates)
-
-
 def lda_topics(df: DataFrame, tokens: str, k: int, max_iter: int = 10, seed: int = 42, min_df: int = 5,
                vocab_size: int = 10_000, terms: int = 10) -> DataFrame:
     """(topic, rank, term, weight): the strongest terms of each topic."""

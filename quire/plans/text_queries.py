@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quire import constants as K
 from quire.functions import text as X
 from quire.operators import text as T
+from quire.operators.entities import entity_mentions as entity_mentions_of
 from quire.operators.aggregates import group_top_values, value_counts
 from quire.operators.chunking import chunk_fixed as fixed, chunk_recursive as recursive
 from quire.plans.fixtures import person_names, PERSON_NAMES_SQL, works
@@ -259,21 +260,29 @@ def sentiment_lexicon(spark, sf):
 
 
 def _gazetteer(spark, sf):
-    """The first two words of each benchmark passage as names."""
-    t = table(spark, sf, "benchmark").withColumn("_t", X.tokens("text", 1))
-    name = F.concat_ws(" ", F.get("_t", F.lit(0)), F.get("_t", F.lit(1)))
-    return t.groupBy(name.alias("entity_text")).agg(F.when(F.min("item_id") % 2 == 0, "PERSON").otherwise("ORG").alias("entity_label"))
-
-
-_ENT_SQL = rf"""{_SENT_SQL}, gz AS (SELECT w[1] || ' ' || w[2] AS entity_text, CASE WHEN min(item_id) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_label
-  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: length(x) >= 1) AS w FROM benchmark) GROUP BY 1),
-st AS (SELECT doc_id, sentence_idx, sentence, list_filter(regexp_split_to_array(lower(sentence), '\W+'), lambda x: length(x) >= 1) AS t FROM sents),
-ent AS (SELECT doc_id, sentence_idx, entity_text, entity_label FROM (SELECT doc_id, sentence_idx, t[i] || ' ' || t[i+1] AS entity_text FROM (SELECT *, unnest(range(1, len(t))) AS i FROM st)) JOIN gz USING (entity_text)
+    """Names of 2 to 12 words, the openings of the benchmark passages, and the passages' whole sentences as works."""
+    b = table(spark, sf, "benchmark")
+    n = (2 + F.col("item_id") % 11).cast("int")
+    opening = b.withColumn("_t", X.tokens("text", 1)).where(F.size("_t") >= n).select(
+        F.array_join(F.slice("_t", F.lit(1), n), " ").alias("entity_text"), F.when(F.col("item_id") % 2 == 0, "PERSON").otherwise("ORG").alias("entity_label"))
+    works = T.sentence_split(b, "item_id", "text").select(F.array_join(X.tokens("sentence", 1), " ").alias("entity_text"), F.lit("WORK").alias("entity_label"))
+    return opening.unionByName(works).where("entity_text <> ''").distinct()
+
+
+_TOKENS = lambda t: rf"list_filter(regexp_split_to_array(lower({t}), '\W+'), lambda x: length(x) >= 1)"
+_ENT_SQL = rf"""{_SENT_SQL}, bw AS (SELECT item_id, {_TOKENS('text')} AS w FROM benchmark),
+gz AS MATERIALIZED (SELECT DISTINCT entity_text, entity_label, len(string_split(entity_text, ' ')) AS n FROM (
+  SELECT array_to_string(w[1:2 + item_id % 11], ' ') AS entity_text, CASE WHEN item_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_label FROM bw WHERE len(w) >= 2 + item_id % 11
+  UNION ALL SELECT array_to_string({_TOKENS('s')}, ' '), 'WORK' FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM benchmark)) WHERE entity_text <> ''),
+st AS MATERIALIZED (SELECT doc_id, sentence_idx, sentence, {_TOKENS('sentence')} AS t FROM sents),
+gr AS (SELECT doc_id, sentence_idx, n, array_to_string(t[i:i + n - 1], ' ') AS entity_text FROM (
+  SELECT doc_id, sentence_idx, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM st, (SELECT DISTINCT n FROM gz) WHERE len(t) >= n)),
+ent AS (SELECT doc_id, sentence_idx, entity_text, entity_label FROM gr JOIN gz USING (entity_text, n)
   UNION ALL SELECT doc_id, sentence_idx, unnest(regexp_extract_all(sentence, '{K.YEAR_PATTERN}')), 'DATE' FROM st)"""
 
 
 def _entities(spark, sf):
-    return T.entity_mentions(_docs(spark, sf), "doc_id", "text", _gazetteer(spark, sf))
+    return entity_mentions_of(_docs(spark, sf), "doc_id", "text", _gazetteer(spark, sf))
 
 
 @query("entity_mentions", f"WITH {_ENT_SQL} SELECT doc_id, sentence_idx, entity_text, entity_label FROM ent")
