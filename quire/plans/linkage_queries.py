@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.operators import fellegi_sunter
 from quire.operators import linkage as L
 from quire.operators.components import cluster_pairs as cluster, cluster_refine as refine
 from quire.operators.setops import first_per_key
@@ -139,10 +140,35 @@ def pair_scores(spark, sf):
     return _scored(spark, sf).select("id_l", "id_r", F.round("score", 6).alias("score"))
 
 
+def _name_pairs(spark, sf):
+    """Features of the candidate pairs of person names."""
+    names = person_names(spark, sf).select("id", F.col("name").alias("label"), F.lit("Person").alias("type"))
+    pairs = L.candidate_pairs(_blocks(spark, sf), names, 0.6, id="id").select("id_l", "id_r")
+    return L.pair_features(L.double_lookup(pairs, names, "id_l", "id_r", "id"))
+
+
+def _reviewed(spark, sf, pairs):
+    """A review log of the pairs: the reviewer knows nation and first and last year of the orders, which few names show in full."""
+    years = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("y0"), F.max(F.year("o_orderdate")).alias("y1"))
+    who = table(spark, sf, "customer").join(years, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.struct("c_nationkey", "y0", "y1").alias("k"))
+    both = pairs.select("id_l", "id_r").join(who.select(F.col("c_custkey").alias("id_l"), F.col("k").alias("kl")), "id_l").join(who.select(F.col("c_custkey").alias("id_r"), F.col("k").alias("kr")), "id_r")
+    return both.select("id_l", "id_r", F.when(F.col("kl").eqNullSafe(F.col("kr")), "match").otherwise("distinct").alias("label"), F.lit(1).alias("at"))
+
+
 @query("pair_scores_model")
 def pair_scores_model(spark, sf):
-    f = _features(spark, sf).withColumn("y", (F.col("edit_sim") > 0.97).cast("double"))
-    return L.pair_scores(f, L.fit_pair_model(f, "y")).select("id_l", "id_r", F.round("score", 3).alias("score"))
+    """Regression on the labels in force of a review log."""
+    f = durable(_name_pairs(spark, sf), "features")
+    ledger = L.label_ledger(_reviewed(spark, sf, f)).withColumn("y", (F.col("pair_label") == "match").cast("double"))
+    return L.pair_scores(f, L.fit_pair_model(f.join(ledger, ["id_l", "id_r"]), "y")).select("id_l", "id_r", F.round("score", 3).alias("score"))
+
+
+@query("pair_scores_em")
+def pair_scores_em(spark, sf):
+    """The same pairs weighed without any labels."""
+    f = durable(_name_pairs(spark, sf), "features")
+    model = fellegi_sunter.fit_match_model(f, {"edit_sim": (0.7, 0.85, 0.95), "token_jaccard": (0.4, 0.7, 1.0), "shared_year": (1.0,)})
+    return fellegi_sunter.match_scores(f, model).select("id_l", "id_r", F.round("weight", 4).alias("weight"), F.round("score", 4).alias("score"))
 
 
 def _components_sql(edges, nodes="SELECT a AS id FROM e"):

@@ -275,9 +275,9 @@ gz AS MATERIALIZED (SELECT DISTINCT entity_text, entity_label, len(string_split(
   SELECT array_to_string(w[1:2 + item_id % 11], ' ') AS entity_text, CASE WHEN item_id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_label FROM bw WHERE len(w) >= 2 + item_id % 11
   UNION ALL SELECT array_to_string({_TOKENS('s')}, ' '), 'WORK' FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM benchmark)) WHERE entity_text <> ''),
 st AS MATERIALIZED (SELECT doc_id, sentence_idx, sentence, {_TOKENS('sentence')} AS t FROM sents),
-gr AS (SELECT doc_id, sentence_idx, n, array_to_string(t[i:i + n - 1], ' ') AS entity_text FROM (
-  SELECT doc_id, sentence_idx, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM st, (SELECT DISTINCT n FROM gz) WHERE len(t) >= n)),
-ent AS (SELECT doc_id, sentence_idx, entity_text, entity_label FROM gr JOIN gz USING (entity_text, n)
+gr AS (SELECT doc_id, sentence_idx, t, i, t[i] AS w FROM (SELECT doc_id, sentence_idx, t, unnest(range(1, len(t) + 1)) AS i FROM st)),
+ent AS (SELECT doc_id, sentence_idx, entity_text, entity_label FROM gr JOIN (SELECT *, string_split(entity_text, ' ')[1] AS w FROM gz) g
+    ON gr.w = g.w AND array_to_string(t[i:i + n - 1], ' ') = entity_text
   UNION ALL SELECT doc_id, sentence_idx, unnest(regexp_extract_all(sentence, '{K.YEAR_PATTERN}')), 'DATE' FROM st)"""
 
 
