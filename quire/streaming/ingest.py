@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.operators.chunking import chunk_recursive
-from quire.operators.setops import first_per_key
 from quire.operators.vectors import embed_text
-from quire.sources.sinks import skip_existing
 
 
 def open_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -40,20 +38,26 @@ def _each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     run.awaitTermination()
 
 
-def stream_first_wins(stream: DataFrame, keys: list[str], order_by: list, out: str, checkpoint: str) -> DataFrame:
-    """The first record of every key over all batches: later ones meet the keys already written and are dropped."""
-    spark, schema = stream.sparkSession, stream.schema
+def stream_first_wins(stream: DataFrame, keys: list[str], order_by: list[str], out: str, checkpoint: str) -> DataFrame:
+    """The first record of every key over all batches: that of its first batch which is least by ``order_by``, then by its other columns.
+
+    The state store keeps the record of each key with the time of its batch, which the offset log keeps for replays, so a
+    batch looks up its own keys only and reads none of the earlier output. What a batch finds with its own time is new and is written to
+    the folder of its number. The stream goes on from ``checkpoint``; the keys' partitions are those of its first start.
+    Null keys are one key. The clock must not be set back between batches.
+    """
+    schema = stream.schema
+    rest = [c for c in schema.names if c not in order_by]
+    record = F.struct(F.current_timestamp().alias("_at"), *[F.col(c) for c in [*order_by, *rest]])
+    firsts = (stream.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], record.alias("_r"))
+              .groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_r").alias("_first"), F.max("_r._at").alias("_now")))
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = first_per_key(batch, keys, order_by)
-        if number > 0:
-            # only the key columns of earlier batches are read; a replayed batch does not meet itself
-            earlier = batch.sparkSession.read.schema(_with_batch(schema)).parquet(out).where(F.col("batch") < number)
-            fresh = skip_existing(fresh, earlier, keys)
+        fresh = batch.where(F.col("_first._at") == F.col("_now")).select([F.col(f"_first.{c}").alias(c) for c in schema.names])
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    _each_batch(stream, checkpoint, write)
-    return spark.read.schema(_with_batch(schema)).parquet(out).drop("batch")
+    _each_batch(firsts, checkpoint, write, "update")
+    return stream.sparkSession.read.schema(_with_batch(schema)).parquet(out).drop("batch")
 
 
 def _with_batch(schema: StructType) -> StructType:
