@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions import text as X
 from quire.functions.vectors import dot_product, l2_normalize, valid_vector
+from quire.operators.ann import knn_ann
 from quire.runtime import durable, take_bounded
 
 MAX_QUERIES = 4096     # vectors sent to every task at most
@@ -185,31 +185,6 @@ def filtered_knn(queries: DataFrame, corpus: DataFrame, pred: Column, k: int) ->
     return knn_exact(queries, corpus.where(pred), k)
 
 
-def knn_ann(queries: DataFrame, corpus: DataFrame, k: int, candidates: int = 200, seed: int = 42) -> DataFrame:
-    """Approximate top k: the corpus is divided into k-means cells, and each query is scored exactly
-    against the nearest cells, enough of them to see about ``candidates`` vectors."""
-    queries, corpus = _usable(queries, "query_id"), _usable(corpus, "corpus_id")
-    n = corpus.count()
-    cells = int(min(1024, max(2, round(n ** 0.5))))
-    probes = int(min(cells, max(2, -(-candidates * cells // max(n, 1)))))
-    as_vector = lambda df: df.withColumn("_v", array_to_vector("vector"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(as_vector(corpus))
-    placed = model.transform(as_vector(corpus)).select("corpus_id", "cell", F.col("vector").alias("cv"))
-    centres = np.array(model.clusterCenters())       # at most 1024 rows
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            q = np.stack(frame["vector"].to_numpy()) if len(frame) else np.empty((0, centres.shape[1]))
-            gap = (centres ** 2).sum(axis=1) - 2 * q @ centres.T
-            yield frame.assign(cells=list(np.argsort(gap, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    probed = queries.mapInPandas(nearest, T.StructType([*queries.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
-    probed = probed.select("query_id", F.col("vector").alias("qv"), F.explode("cells").alias("cell"))
-    scored = placed.join(probed, "cell").select("query_id", "corpus_id", F.round(dot_product("qv", "cv"), DECIMALS).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def cosine_matrix(df: DataFrame, id: str, vec: str, max_rows: int = 1000) -> DataFrame:
     """(id_l, id_r, cosine) for every pair of a selected set of at most ``max_rows`` vectors."""
     from quire.operators.joins import all_pairs
@@ -310,12 +285,13 @@ def projection_quality(df: DataFrame, a: str, b: str) -> DataFrame:
                     ((of("xx") - 2 * of("xz") + of("zz")) / (n * n)).alias("structure_error"))
 
 
-def rag_context(queries: DataFrame, corpus: DataFrame, k: int = 50, sep: str = "\n\n") -> DataFrame:
+def rag_context(queries: DataFrame, corpus: DataFrame, k: int = 50, sep: str = "\n\n", search: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(query_id, context, citations): the top k passages of each query joined in rank order.
 
-    ``corpus`` has ``corpus_id, vector, text``.
+    ``corpus`` has ``corpus_id, vector, text``. ``search(queries, corpus, k)`` finds them, by default ``ann.knn_ann``: an exact
+    search would score every query against every passage.
     """
-    hits = knn_exact(queries, corpus, k).join(corpus.select("corpus_id", "text"), "corpus_id")
+    hits = (search or knn_ann)(queries, corpus.select("corpus_id", "vector"), k).join(corpus.select("corpus_id", "text"), "corpus_id")
     lines = F.struct("rank", F.concat(F.lit("["), F.col("corpus_id").cast("string"), F.lit("] "), F.col("text")).alias("line"),
                      F.col("corpus_id").cast("string").alias("cite"))
     ranked = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(lines)).alias("_a"))   # k rows per query

@@ -9,6 +9,7 @@ from quire.functions.vectors import dot_product as dot, l2_normalize as unit
 from quire.operators import metric
 from quire.operators import retrieval as R
 from quire.operators import vectors as V
+from quire.operators.ann import knn_ann as ann
 from quire.plans.fixtures import works
 from quire.plans.linkage_queries import HITS_SQL, label_queries, vector_corpus
 from quire.plans.registry import query, table, texts
@@ -37,7 +38,17 @@ def knn_exact(spark, sf):
 
 @query("knn_ann")
 def knn_ann(spark, sf):
-    return _RANKS(V.knn_ann(label_queries(spark, sf), vector_corpus(spark, sf), 10, candidates=200))
+    return _RANKS(ann(label_queries(spark, sf), vector_corpus(spark, sf), 10, candidates=200))
+
+
+@query("knn_ann_recall", "SELECT count(DISTINCT label) * 10 AS wanted, true AS recall_reached FROM embeddings")
+def knn_ann_recall(spark, sf):
+    """Whether at least 0.95 of the exact ten nearest are found."""
+    queries, corpus = label_queries(spark, sf), vector_corpus(spark, sf)
+    pairs = lambda df: df.select("query_id", "corpus_id")
+    found = pairs(ann(queries, corpus, 10, candidates=200)).withColumn("hit", F.lit(1))
+    exact = pairs(V.knn_exact(queries, corpus, 10)).join(found, ["query_id", "corpus_id"], "left")
+    return exact.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.95 * F.count("*")).alias("recall_reached"))
 
 
 @query("l2_normalize", """

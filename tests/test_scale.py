@@ -154,14 +154,6 @@ def test_bad_vectors_are_left_out(spark):
     assert [r.corpus_id for r in V.knn_exact(queries, corpus, 3).collect()] == [1]
 
 
-def test_ann_recall(spark):
-    e = table(spark, SF, "embeddings").select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vector"))
-    q = e.limit(40).select(F.col("corpus_id").alias("query_id"), "vector")
-    exact = {(r.query_id, r.corpus_id) for r in V.knn_exact(q, e, 5).collect()}
-    ann = {(r.query_id, r.corpus_id) for r in V.knn_ann(q, e, 5, candidates=200).collect()}
-    assert len(exact & ann) / len(exact) >= 0.7
-
-
 def test_mmr_prefers_variety(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.999, 0.01]), (3, [0.7, 0.7]), (4, [0.0, -1.0])], "corpus_id long, vector array<double>")
     queries = spark.createDataFrame([(0, [1.0, 0.1])], "query_id long, vector array<double>")
