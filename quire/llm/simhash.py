@@ -81,7 +81,8 @@ def _bucket_rows(nodes: DataFrame, masks: list[list[int]]) -> DataFrame:
     # a bucket is a 64-bit hash of part, mask and masked value; two that fall together only add tests
     entries = [F.struct(F.xxhash64(F.lit(p * most + t), F.col("sigs")[p].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.lit(p).alias("part"), F.lit(t).alias("mask"))
                for p, several in enumerate(masks) for t, m in enumerate(several)]
-    return nodes.select("id", F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "e.mask", "id")
+    carried = [c for c in nodes.columns if c != "sigs"]
+    return nodes.select(*carried, F.explode(F.array(*entries)).alias("e")).select("e.bucket", "e.part", "e.mask", *carried)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -92,10 +93,11 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
                        confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, canon_id) for ids linked to another: components of all pairs within a part's radius in that part that ``confirm`` keeps.
 
-    ``nodes`` is (id, sigs, wide, slack, n): distinct ids, arrays of one signature of ``bits`` bits per entry of ``radii``, a
-    longer signature (an empty array for none) in which a pair may differ in ``wide_radius`` plus ``slack`` bits, and a size: the
-    smaller of a pair must reach ``size_ratio`` of the larger. First every member of a bucket is tested against the bucket's smallest id,
-    which is linear. Then, in buckets of over two members that are not one component yet, members of different components
+    ``nodes`` is (id, sigs, wide, slack, n, few): distinct ids, arrays of one signature of ``bits`` bits per entry of ``radii``, a
+    longer signature (an empty array for none) in which a pair may differ in ``wide_radius`` plus ``slack`` bits, a size (the
+    smaller of a pair must reach ``size_ratio`` of the larger), and the set itself as 32-bit hashes where it is small (else an empty
+    array), whose pairs must have ``size_ratio`` as their similarity. First every member of a bucket is tested against one of them, the one whose
+    buckets hold most members in all: linear, and where many texts were made from one, that one leads and links them. Then, in buckets of over two members that are not one component yet, members of different components
     are tested against each other: the smaller component of a pair is written out member by member and meets the members of the
     larger one in a join that lets only pairs within all bounds leave. Every pair within the radius is thus tested or
     already connected, and a group of many near copies, connected by the first pass, is never expanded into its
@@ -103,20 +105,32 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     """
     confirm = confirm or (lambda pairs: pairs)
     masks = _masks(radii, bits)
-    keys = _bucket_rows(nodes, masks)
-    lead = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    keys = _bucket_rows(nodes.select("id", "sigs"), masks)
+    sizes = durable(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "covering-sizes")
+    central = keys.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))  # ids that share no bucket end here
+    central = durable(nodes.select("id", "sigs").join(central, "id"), "covering-central")
+    keys = _bucket_rows(central, masks)
+    lead = keys.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "id"))["id"].alias("lead"), F.count("*").alias("n")).where("n > 1")
     lead = durable(lead, "covering-leads")  # so that the join deals both sides itself and can split a hot bucket
+    keys = keys.drop("weight")
     met = durable(keys.join(lead, "bucket"), "covering-buckets")
-    pairs = met.where("id <> lead").select(F.col("lead").alias("id_l"), F.col("id").alias("id_r")).distinct()
+    pairs = met.where("id <> lead").select(F.least("lead", "id").alias("id_l"), F.greatest("lead", "id").alias("id_r")).distinct()
 
     def alike(a: str, b: str) -> Column:
         return ((F.least(f"{a}.n", f"{b}.n") >= size_ratio * F.greatest(f"{a}.n", f"{b}.n"))
                 & (_differing(f"{a}.wide", f"{b}.wide") <= wide_radius + F.greatest(f"{a}.slack", f"{b}.slack")))
 
+    def alike_in_full(a: str, b: str) -> Column:
+        """Sets that travel along are compared themselves; one shared entry is allowed for hashes that fall together."""
+        both = (F.size(f"{a}.few") > 0) & (F.size(f"{b}.few") > 0)
+        shared = F.size(F.array_intersect(f"{a}.few", f"{b}.few")) + 1
+        return alike(a, b) & (~both | (shared * (1 + size_ratio) >= size_ratio * (F.col(f"{a}.n") + F.col(f"{b}.n"))))
+
     apart = F.zip_with("a.sigs", "b.sigs", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     gap = F.array_min(F.zip_with(apart, F.array(*[F.lit(r) for r in radii]), lambda d, r: d - r))
-    near = durable(pairs.join(nodes.alias("a"), F.col("id_l") == F.col("a.id"))
-                   .join(nodes.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= 0, alike("a", "b")])
+    slim = nodes.drop("few")
+    near = durable(pairs.join(slim.alias("a"), F.col("id_l") == F.col("a.id"))
+                   .join(slim.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= 0, alike("a", "b")])
                    .select("id_l", "id_r"), "covering-near")
     links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
     groups = components(links)
@@ -125,7 +139,7 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     placed = met.where("n > 2").select("bucket", "part", "mask", "id").alias("k").join(groups.alias("g"), F.col("k.id") == F.col("g.id"), "left") \
         .select("k.*", F.coalesce("g.canon_id", "k.id").alias("canon_id"))
     open_ = durable(placed, "covering-open")
-    discard(met)
+    discard(sizes, central, met)
     held = durable(open_.groupBy("bucket", "canon_id").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("part").alias("part"), F.first("mask").alias("mask")), "covering-components")
     several = durable(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "covering-several")
     signed_ = lambda rows: rows.join(nodes, "id").withColumn("sig", F.expr("sigs[part]")).drop("sigs", "part")
@@ -138,7 +152,7 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
         first = F.lit(len(most))
         for t in reversed(range(len(most))):
             first = F.when(xor.bitwiseAND(F.lit(signed(most[t]))) == 0, F.lit(t)).otherwise(first)
-        return (F.bit_count(xor) <= max(radii)) & (first == F.col(f"{a}.mask")) & alike(a, b)
+        return (F.bit_count(xor) <= max(radii)) & (first == F.col(f"{a}.mask")) & alike_in_full(a, b)
 
     # components of one member each meet directly
     alone = ones.alias("a").join(ones.alias("b"), [F.col("a.bucket") == F.col("b.bucket"), F.col("a.id") < F.col("b.id"), within("a", "b")]) \
@@ -151,7 +165,7 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     wanted = facing.select("bucket", F.col("small").alias("canon_id")).unionByName(facing.select("bucket", F.col("large").alias("canon_id"))).distinct()
     members = durable(signed_(open_.join(wanted, ["bucket", "canon_id"])), "covering-members")
     left = facing.alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.small") == F.col("m.canon_id")]) \
-        .select("p.bucket", "p.large", "m.id", "m.sig", "m.mask", "m.wide", "m.slack", "m.n")
+        .select("p.bucket", "p.large", "m.id", "m.sig", "m.mask", "m.wide", "m.slack", "m.n", "m.few")
     crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.large") == F.col("m.canon_id"), within("l", "m")])
                .select(F.col("l.id").alias("id_a"), F.col("m.id").alias("id_b")))
     crossed = alone.unionByName(crossed).select(F.least("id_a", "id_b").alias("id_l"), F.greatest("id_a", "id_b").alias("id_r")).distinct()
@@ -177,7 +191,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle_words: int = 3,
     rows = durable(fingerprints(docs, shingle_words, seed), "fingerprints")
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     # the fingerprint itself is the node: unique, also where ids repeat or are null
-    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs"), F.array().cast("array<bigint>").alias("wide"), F.lit(0).alias("slack"), F.lit(1).alias("n")), [radius])
+    groups = covered_components(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("sigs"), F.array().cast("array<bigint>").alias("wide"), F.lit(0).alias("slack"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("few")), [radius])
     groups = nodes.alias("n").join(groups.alias("g"), F.col("n.fp") == F.col("g.id"), "left") \
         .select("fp", "least", F.coalesce("canon_id", "fp").alias("canon"))
     least = groups.groupBy("canon").agg(F.min("least").alias("component_id"))
@@ -191,6 +205,7 @@ RADIUS = 2           # of the covering tables of the 64-bit SimHash: 7 masks
 PARTS, BAND = 41, 5  # all five minima of a part agree with chance J ** 5, whatever was edited: at 0.8 all 41 parts miss with 1 in 12 million
 WIDE = 2048       # bits of a fingerprint of the shingles that are compared in the end
 FEW, FEW_SLACK = 64, 0.06  # texts of fewer shingles, whose majorities tie more often, may differ in this share more
+EXACT = 192       # shingles up to which a set goes along into the pair joins, 768 bytes
 SLACK = 0.04      # added to the share of bits in which sets of the wanted similarity differ (0.152 at 0.8): five times its deviation
 SMALL = 200_000   # rows of a list of keys, some 10 MB, up to which it is sent to the tasks; a longer one is joined by shuffle
 _MULTIPLIERS = W.mix(np.arange(2001, 2001 + PARTS * BAND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -228,10 +243,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         wide = [_fingerprint(x, _WIDE_SALTS).view("<i8") for x in sets]
         sigs = np.hstack([np.array([wide[i][:1] for i in some], dtype=np.int64).reshape(-1, 1), sigs])  # 64 of the bits are the short SimHash
         distinct = np.array([len(x) for x in sets], dtype=np.int32)
+        few = pa.array([x.astype(np.uint32).view(np.int32) if len(x) <= EXACT else x[:0].astype(np.int32) for x in sets], pa.list_(pa.int32()))
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs.ravel())),
                  pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(wide)))]
         slack = np.where(counts < FEW, int(FEW_SLACK * WIDE), 0).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack), pa.array(distinct)], names=["doc_id", "text_key", "sigs", "wide", "slack", "n"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists, pa.array(slack), pa.array(distinct), few], names=["doc_id", "text_key", "sigs", "wide", "slack", "n", "few"])
 
 
 def _fingerprint(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -279,8 +295,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
     source = _keyed(docs, id_col, text_col)
-    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int, n int"), "dedup-rows")
-    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack"), F.first("n").alias("n")), "dedup-unit-rows")
+    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int, n int, few array<int>"), "dedup-rows")
+    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack"), F.first("n").alias("n"), F.first("few").alias("few")), "dedup-unit-rows")
     # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
     shared = units.groupBy("least").agg(F.count("*").alias("several")).where("several > 1 or least is null or least < 0")
     raw = units
@@ -288,7 +304,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
         "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
     units = durable(units, "dedup-units")
     discard(raw)
-    nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack", "n")
+    nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack", "n", "few")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("id_l").alias("unit")).unionByName(pairs.select(F.col("id_r").alias("unit"))).distinct()

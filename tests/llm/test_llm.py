@@ -166,7 +166,7 @@ def test_simhash_of_a_hot_bucket(spark):
             fp ^= 1 << int(b)
         fps.add(fp)
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(f, [f], [], 0, 1) for f in fps], "id long, sigs array<long>, wide array<long>, slack int, n int")
+    nodes = spark.createDataFrame([(f, [f], [], 0, 1, []) for f in fps], "id long, sigs array<long>, wide array<long>, slack int, n int, few array<int>")
     got = {r["id"]: r["canon_id"] for r in simhash.covered_components(nodes, [2]).collect()}
     root = B.components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert {f: got.get(f, f) for f in fps} == {f: fps[root[i]] for i, f in enumerate(fps)}
