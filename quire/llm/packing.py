@@ -27,6 +27,7 @@ from quire.runtime import discard, durable, scratch_path
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())])
 _SEQUENCES = ("sequence_id long, id_bytes int, ids binary, "
               "pieces array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>")
+_PIECES = "doc_id long, piece int, start long, length long, id_bytes int, ids binary, row long, full boolean"
 _RANK_BITS = 48  # of a piece's number among those of its length
 
 
@@ -183,7 +184,7 @@ def make_plan(counts: np.ndarray, capacity: int) -> Plan:
 # --- carried out on Spark; ids of a piece or a sequence are one zstd frame in files and shuffles
 
 def _compressed(ids: bytes | np.ndarray) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(ids, asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(ids, asbytes=True)
 
 
 def _plain(frame: bytes, size: int) -> bytes:
@@ -261,22 +262,24 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, c
     """Write ``docs`` packed into sequences of at most ``capacity`` ids at ``path``; the plan is returned.
 
     Every whole text is encoded, ``end_id`` appended, and only longer ones are cut, into full pieces and a last shorter
-    one. Rows of the written table are sequences: sequence_id, ids (a zstd frame of little-endian numbers, ``id_bytes`` each) and the pieces in
-    them (doc_id, piece, start, length, offset), without gaps. A null or empty text is the end id alone; null ids and
+    one. A full piece is a sequence at once and stays as it is written (folder ``pieces``); rows of ``sequences`` have a sequence_id, ids (a zstd
+    frame of little-endian numbers, ``id_bytes`` each) and the pieces in them (doc_id, piece, start, length, offset), without gaps. A null or empty text is the end id alone; null ids and
     repeated rows are documents of their own; other columns are ignored; an empty table gives an empty folder of files.
-    Texts are encoded once and never shuffled; ids are, twice. Pieces are ranked within their length by a range sort of
-    (length, row), so a length that a third of all pieces have is dealt to many tasks. Full pieces are sequences at once.
+    Texts are encoded once and never shuffled; ids of shorter pieces are, twice. Pieces are ranked within their length by a range sort of
+    (length, row), so a length that a third of all pieces have is dealt to many tasks.
     """
     spark = docs.sparkSession
-    pieces = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                     .mapInArrow(_cut(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, id_bytes int, ids binary")
-                     .withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+     .mapInArrow(_cut(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, id_bytes int, ids binary")
+     .withColumn("row", F.monotonically_increasing_id()).withColumn("full", F.col("length") == capacity)
+     .write.option("compression", "uncompressed").partitionBy("full").parquet(f"{path}/pieces"))
+    short = spark.read.schema(_PIECES).parquet(f"{path}/pieces").where("not full")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in pieces.where(F.col("length") < capacity).groupBy("length").count().collect():  # one row per length
+    for r in short.groupBy("length").count().collect():  # one row per length
         counts[r["length"]] = r["count"]
     plan = make_plan(counts, capacity)
 
-    ordered = durable(pieces.where(F.col("length") < capacity).select("row", "length").repartitionByRange("length", "row")
+    ordered = durable(short.select("row", "length").repartitionByRange("length", "row")
                       .sortWithinPartitions("length", "row").withColumn("at", F.monotonically_increasing_id()), "pack-order")
     # a partition holds runs of lengths; "at" is consecutive within it, so a run's first one is its zero
     part = F.shiftrightunsigned("at", 33)
@@ -286,15 +289,23 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, c
     ranked = ordered.withColumn("part", part).join(runs, ["part", "length"]).select("row", "length", (F.col("before") + F.col("at") - F.col("zero")).alias("rank"))
     placed = durable(ranked.mapInArrow(_place(plan), "row long, sequence_id long, offset long"), "pack-places")
 
-    columns = ["sequence_id", "offset", "doc_id", "piece", "start", "length", "id_bytes", "ids"]
-    short = pieces.where(F.col("length") < capacity).join(placed, "row").select(columns) \
+    packed = short.join(placed, "row").select("sequence_id", "offset", "doc_id", "piece", "start", "length", "id_bytes", "ids") \
         .repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.col("row") + plan.bins).withColumn("offset", F.lit(0).cast("long")).select(columns)
-    short.mapInArrow(_sequences, _SEQUENCES).unionByName(full.mapInArrow(_sequences, _SEQUENCES)).write.option("compression", "uncompressed").parquet(path)
-    discard(pieces, ordered, placed)
+    packed.mapInArrow(_sequences, _SEQUENCES).write.option("compression", "uncompressed").parquet(f"{path}/sequences")
+    discard(ordered, placed)
+    short.scratch = f"{path}/pieces/full=false"
+    discard(short)
     return plan
 
 
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence_id, id_bytes, ids, pieces) of all sequences at ``path``; a full piece has a negative number."""
+    piece = F.struct("doc_id", "piece", "start", "length", F.lit(0).cast("long").alias("offset"))
+    full = spark.read.schema(_PIECES).parquet(f"{path}/pieces").where("full")
+    return spark.read.schema(_SEQUENCES).parquet(f"{path}/sequences").unionByName(
+        full.select((-1 - F.col("row")).alias("sequence_id"), "id_bytes", "ids", F.array(piece).alias("pieces")))
+
+
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece, from the sequences' ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +320,7 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(np.full(len(crc), part.column(0)[i].as_py()), pa.int64()), rows.field("offset")],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return spark.read.schema(_SEQUENCES).parquet(path).mapInArrow(
+    return read_sequences(spark, path).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
