@@ -41,16 +41,16 @@ def histogram_of_counts(df: DataFrame, key: str) -> DataFrame:
     return per_key.groupBy("count").agg(F.count("*").alias("n_keys"))
 
 
-def collect_list_sorted(df: DataFrame, key: str, col: str, order: str = "asc") -> DataFrame:
+def collect_list_sorted(df: DataFrame, key: str, col: str, order: str = "asc", **options) -> DataFrame:
     """Sorted values per key and the first of them (``order`` asc or desc).
 
-    The first value is a plain min / max; lists of very large keys are split into parts.
+    The first value is a plain min / max; lists of very large keys are split into parts, which go on in that order
+    (``max_items`` to a part, see ``nest_children``).
     """
     pick = F.min if order == "asc" else F.max
     firsts = df.groupBy(key).agg(pick(col).alias("first_value"), F.count(col).alias("n_values"))
-    lists = nest_children(df.where(F.col(col).isNotNull()), [key], [col], [col])
-    values = F.transform("children", lambda x: x[col])
-    lists = lists.select(key, "part_no", F.sort_array(values, asc=order == "asc").alias("values"))
+    lists = nest_children(df.where(F.col(col).isNotNull()), [key], [col], [col], descending=order != "asc", **options)
+    lists = lists.select(key, "part_no", F.transform("children", lambda x: x[col]).alias("values"))
     return firsts.join(lists, key, "left")
 
 
@@ -106,6 +106,21 @@ def exact_quantiles(df: DataFrame, cols: list[str], ps: list[float]) -> DataFram
             .select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value")))
 
 
+def sketch_quantiles(df: DataFrame, cols: list[str], ps: list[float], k: int = 800) -> DataFrame:
+    """(column, p, value) from one mergeable quantile sketch (KLL) per column: one pass, a few kilobytes from each task.
+
+    A value is one of the column whose rank is off by a share of about ``2.3 / k ** 0.9`` of all rows at most, with 99 % confidence
+    (0.6 % for 800); nulls and NaN take no part; a column without values has null.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    sketches = df.agg(*[F.kll_sketch_agg_double(value[c], F.lit(k)).alias(f"_{i}") for i, c in enumerate(cols)],
+                      *[F.count(value[c]).alias(f"_n{i}") for i, c in enumerate(cols)])
+    at = F.array(*[F.lit(float(p)) for p in ps])
+    rows = [F.struct(F.lit(c).alias("column"), F.when(F.col(f"_n{i}") > 0, F.arrays_zip(at.alias("p"), F.kll_sketch_get_quantile_double(f"_{i}", at).alias("value")))
+                     .otherwise(F.transform(at, lambda p: F.struct(p.alias("p"), F.lit(None).cast("double").alias("value")))).alias("q")) for i, c in enumerate(cols)]
+    return sketches.select(F.explode(F.array(*rows)).alias("r")).select("r.column", F.explode("r.q").alias("q")).select("column", "q.p", "q.value")
+
+
 def summary_stats(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """``describe_stats`` plus the quartiles; ``exact=False`` uses approximate ones in the same style."""
     q = percentiles(df, cols, [0.25, 0.5, 0.75], exact)

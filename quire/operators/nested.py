@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from quire.functions.nested import first_element, nested_transform_join, transform_join
 from quire.operators.windows import global_index
-from quire.runtime import durable
+from quire.runtime import discard, durable
 
 
 def explode_array(df: DataFrame, col: str, alias: str) -> DataFrame:
@@ -174,9 +174,30 @@ def partof_edges(df: DataFrame, max_depth: int, id: str = "id", col: str = "part
     return df.select(F.explode(links(F.col(id), F.col(col), 1, df.schema[col].dataType)).alias("e")).select("e.*")
 
 
+def partof_closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, ancestor, depth): every ancestor over any number of steps, with the fewest of them, from flat parent edges.
+
+    Paths are doubled: a round joins the paths so far with themselves, so the rounds grow with the logarithm of the longest
+    chain. A record in a loop is its own ancestor. Edges with a null end are left out, repeated ones count once. Each round
+    is written, and the one before deleted.
+    """
+    paths = durable(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null")
+                    .distinct().withColumn("depth", F.lit(1).cast("long")), "closure")
+    state = paths.agg(F.count("*"), F.sum("depth")).first()
+    while True:
+        further = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.child")) \
+            .select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        longer = durable(paths.unionByName(further).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        discard(paths)
+        now = longer.agg(F.count("*"), F.sum("depth")).first()
+        if now == state:
+            return longer
+        paths, state = longer, now
+
+
 def nest_children(df: DataFrame, keys: list[str], fields: list[str], order_by: list[str], out: str = "children",
-                  max_items: int = 100_000) -> DataFrame:
-    """Rebuild ``array<struct>`` per key from flat rows, sorted by ``order_by``.
+                  max_items: int = 100_000, descending: bool = False) -> DataFrame:
+    """Rebuild ``array<struct>`` per key from flat rows, sorted by ``order_by`` (all of them falling with ``descending``).
 
     The rows of a key are cut into pages of ``max_items`` in that order, numbered by ``part_no`` from 0, so no array is
     larger and together they hold every child. Keys of more than one page are ranked by a distributed sort, so that
@@ -185,14 +206,14 @@ def nest_children(df: DataFrame, keys: list[str], fields: list[str], order_by: l
     fields_ = F.struct(*order_by, *[f for f in fields if f not in order_by])
 
     def packed(rows: DataFrame) -> DataFrame:
-        grouped = rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list(fields_)).alias("_a"))
+        grouped = rows.groupBy(*keys, "part_no").agg(F.sort_array(F.collect_list(fields_), asc=not descending).alias("_a"))
         return grouped.select(*keys, "part_no", F.transform("_a", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
 
     large = durable(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_items).select(*keys), "large-keys")
     if large.isEmpty():
         return packed(df.withColumn("part_no", F.lit(0)))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    ranked = global_index(df.alias("d").join(large.alias("l"), same("d", "l"), "left_semi"), [*keys, *order_by], "_ix")
+    ranked = global_index(df.alias("d").join(large.alias("l"), same("d", "l"), "left_semi"), [*keys, *[F.desc(o) if descending else F.asc(o) for o in order_by]], "_ix")
     starts = ranked.groupBy(*keys).agg(F.min("_ix").alias("_from"))
     paged = (ranked.alias("d").join(starts.alias("s"), same("d", "s")).select("d.*", "_from")
              .withColumn("part_no", F.expr(f"cast((_ix - _from) div {int(max_items)} as int)")).drop("_ix", "_from"))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer, HashingTF, IndexToString, NGram, StringIndexer, Word2Vec
+from pyspark.ml.feature import CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,28 +172,6 @@ def spell_suggest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return first_per_key(near, ["word"], [exact_first, F.desc("n"), "suggestion"])
 
 
-def fit_language_model(labelled: DataFrame, text: str, lang: str, features: int = 1 << 16) -> PipelineModel:
-    """Naive Bayes over hashed character 3-grams; the model is languages x features numbers, whatever the data size."""
-    index = StringIndexer(inputCol=lang, outputCol="_lang_ix", stringOrderType="alphabetAsc").fit(labelled)
-    stages = Pipeline(stages=[
-        NGram(n=3, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
-        NaiveBayes(featuresCol="_tf", labelCol="_lang_ix", predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")])
-    fitted = stages.fit(index.transform(_with_chars(labelled, text)))
-    return PipelineModel(stages=[*fitted.stages, IndexToString(inputCol="_pred", outputCol="language", labels=index.labels)])
-
-
-def _with_chars(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_chars", F.split(F.lower(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))), ""))
-
-
-def language_id(df: DataFrame, text: str, model: PipelineModel, min_chars: int = 5) -> DataFrame:
-    """Adds ``language``; texts shorter than ``min_chars`` are ``unknown``. Scoring is narrow: no shuffle."""
-    scored = model.transform(_with_chars(df, text))
-    short = F.length(F.trim(F.coalesce(text, F.lit("")))) < min_chars
-    return scored.select(*df.columns, F.when(short, F.lit("unknown")).otherwise(F.col("language")).alias("language"))
-
-
 def sentiment_lexicon(df: DataFrame, id: str, text: str, lexicon: DataFrame, negations: list[str] | None = None) -> DataFrame:
     """(id, polarity, subjectivity): mean over words of the lexicon (``word, polarity, subjectivity``).
 

@@ -101,6 +101,17 @@ def percentiles(spark, sf):
     return A.percentiles(table(spark, sf, "documents"), ["n_chars"], _PS).withColumn("value", F.round("value", 4))
 
 
+@query("percentiles_sketch", " UNION ALL ".join(f"SELECT 'n_chars' AS \"column\", {p}::DOUBLE AS p, true AS within_bound" for p in _PS))
+def percentiles_sketch(spark, sf):
+    """Whether each sketched quantile's rank is within 1 % of the rows of the wanted one."""
+    docs = table(spark, sf, "documents").select("n_chars")
+    found = A.sketch_quantiles(docs, ["n_chars"], _PS).collect()  # one row per quantile
+    share = lambda hit: F.avg(hit.cast("int"))
+    checks = [F.struct(F.lit(r["column"]).alias("column"), F.lit(r["p"]).alias("p"), ((share(F.col("n_chars") < r["value"]) <= r["p"] + 0.01)
+              & (share(F.col("n_chars") <= r["value"]) >= r["p"] - 0.01)).alias("within_bound")) for r in found]
+    return docs.agg(F.array(*checks).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 @query("mean_median", """
 WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT round(avg(n), 6) AS mean, median(n) AS median, max(n)::DOUBLE AS max, min(n)::DOUBLE AS min, round(stddev_samp(n), 6) AS std FROM t""")

@@ -1,5 +1,8 @@
 """2.3 Projection and nested data."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +192,24 @@ def partof_edges(spark, sf):
     return O.partof_edges(records, 2)
 
 
+_WORLD = "SELECT 'r' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'world', 'r' || min(r_regionkey) FROM region"
+
+
+@query("partof_closure", f"""
+WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL {_WORLD}),
+p AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION SELECT p.child, e.parent, depth + 1 FROM p JOIN e ON p.ancestor = e.child WHERE depth < 8)
+SELECT child, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM p GROUP BY 1, 2""")
+def partof_closure(spark, sf):
+    """Suppliers and customers in nations in regions in the world, which is said to be part of one of them."""
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
+    region = table(spark, sf, "region")
+    edges = [edge(table(spark, sf, "supplier"), "s", "s_suppkey", "n", "s_nationkey"), edge(table(spark, sf, "customer"), "c", "c_custkey", "n", "c_nationkey"),
+             edge(table(spark, sf, "nation"), "n", "n_nationkey", "r", "n_regionkey"), region.select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("world").alias("parent")),
+             region.agg(F.min("r_regionkey").alias("k")).select(F.lit("world").alias("child"), F.concat(F.lit("r"), "k").alias("parent"))]
+    return O.partof_closure(reduce(DataFrame.unionByName, edges))
+
+
 @query("nest_children", """
 SELECT o_custkey, 0 AS part_no, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY o_custkey""")
 def nest_children(spark, sf):

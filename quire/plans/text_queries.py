@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quire import constants as K
 from quire.functions import text as X
 from quire.operators import text as T
+from quire.operators.language import fit_language_profiles, language_id as language_of
 from quire.operators.entities import entity_mentions as entity_mentions_of
 from quire.operators.aggregates import group_top_values, value_counts
 from quire.operators.chunking import chunk_fixed as fixed, chunk_recursive as recursive
@@ -227,12 +228,27 @@ def spell_suggest(spark, sf):
     return T.spell_suggest(words, _dictionary(spark, sf))
 
 
+def _held_out():
+    """A fifth of the documents, by a hash of their ids."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def _profiles(spark, sf):
+    return fit_language_profiles(_docs(spark, sf).where(~_held_out()).select("text", "lang"), "text", "lang")
+
+
 @query("language_id")
 def language_id(spark, sf):
-    docs = _docs(spark, sf)
-    model = T.fit_language_model(docs.select("text", "lang"), "text", "lang")
-    sents = T.sentence_split(docs.select("doc_id", "text"), "doc_id", "text")
-    return T.language_id(sents, "sentence", model).select("doc_id", "sentence_idx", "language")
+    sents = T.sentence_split(_docs(spark, sf).select("doc_id", "text"), "doc_id", "text")
+    return language_of(sents, "sentence", _profiles(spark, sf)).select("doc_id", "sentence_idx", "language")
+
+
+@query("language_id_accuracy", "SELECT count(*) > 0 AS any_held_out, true AS accurate FROM documents WHERE lang IS NOT NULL")
+def language_id_accuracy(spark, sf):
+    """Whether at least 0.9 of the documents that the profiles were not made from get their language."""
+    docs = _docs(spark, sf).select("doc_id", "text", "lang").where(_held_out() & F.col("lang").isNotNull())
+    hit = language_of(docs, "text", _profiles(spark, sf))
+    return hit.agg((F.count("*") > 0).alias("any_held_out"), (F.count_if(F.col("language") == F.col("lang")) >= 0.9 * F.count("*")).alias("accurate"))
 
 
 @query("language_distribution", "SELECT source, lang, count(*) AS n, count(DISTINCT lang) OVER (PARTITION BY source) > 1 AS several FROM documents GROUP BY 1, 2".replace(
