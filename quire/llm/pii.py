@@ -29,7 +29,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# fixed values: characters of an IBAN by country
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "ST": 25, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,6 +94,20 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN that begins at ``start`` ends by its country's length (an unknown country's: with the match); 0 if inside a word."""
+    wanted, seen = IBAN_LENGTH.get(text[start:start + 2]), 0
+    if wanted:
+        for at in range(start, end):
+            seen += text[at] != " "
+            if seen == wanted:
+                end = at + 1
+                break
+        else:
+            return 0
+    return end if not (end < len(text) and text[end].isascii() and text[end].isalnum()) else 0
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of matches that pass their validator, by kind, then by start; matches of a kind do not overlap."""
     for a, b in _emails(text):
@@ -103,9 +126,9 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             if 8 <= len(_digits(m.group())) <= 15:
                 yield "phone", m.start(), m.end()
     for m in _IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", m.start(), m.end()
+        end = _iban_end(text, m.start(), m.end())
+        if end and mod97(text[m.start():end].replace(" ", "")):
+            yield "iban", m.start(), end
     for m in _SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
@@ -162,9 +185,10 @@ def digest(spans: list[tuple]) -> str:
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of ``docs``, from ``detect_pii``."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) per row of ``docs``, from ``detect_pii``; scores in the order of the spans."""
     found = detect_pii(docs)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.transform("spans", lambda s: s["score"]).alias("scores"))

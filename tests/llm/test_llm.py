@@ -293,6 +293,10 @@ def test_pii_adds_validated_spans_and_keeps_base(spark, odd, none):
     text = "account GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33; social security 123-45-6789, part 123-45-6789x"
     assert [(s.kind, text[s.start:s.end]) for s in pii.find_spans(text)] == [("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("ssn", "123-45-6789")]
     assert not pii.find_spans("order 123-45-6789")
+    for t in ("AT61 1904 3002 3457 3201 BIC", "BE68 5390 0754 7034 USD", "to DE89370400440532013000, NO93 8601 1117 947.", "XX GB82 WEST 1234 5698 7654 32"):
+        assert [s.kind for s in pii.find_spans(t) if s.kind == "iban"] == ["iban"] * (1 + ("NO93" in t))
+    assert t[slice(*[s for s in pii.find_spans(t) if s.kind == "iban"][0][1:3])] == "GB82 WEST 1234 5698 7654 32"
+    assert not [s for s in pii.find_spans("AT61 1904 3002 3457 3201BIC AT61 1904 3002 3457 32 AT62 1904 3002 3457 3201") if s.kind == "iban"]
     assert pii.redact(text, pii.find_spans(text)).startswith("account [iban] and GB82 WEST 1234 5698 7654 33; social security [ssn]")
     got = pii.pii_digests(odd).collect()
     assert len(got) == len(ODD) and {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
