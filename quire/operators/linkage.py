@@ -311,7 +311,8 @@ def near_dup_links(df: DataFrame, id: str, text: str, shingle: int = 5, threshol
 
     # a text's own runs take up places of the prefix but can meet nobody
     left = judged.where("NOT tied").withColumn("p", prefix_length(F.col("n"), threshold))
-    posts = durable(left.where("p > own").select("id", "n", F.explode(F.expr("slice(ordered, own + 1, p - own)")).alias("t")), "postings")
+    posts = left.where("p > own").select("id", "n", "own", F.posexplode(F.expr("slice(ordered, own + 1, p - own)")).alias("at", "t"))
+    posts = durable(posts.select("id", "n", "t", (F.col("own") + F.col("at")).alias("pos")), "postings")
     met = _meet(posts, ["t"], threshold).distinct()
     both = (met.join(units.select(F.col("id").alias("id_l"), F.col("s").alias("s_l")), "id_l")
             .join(units.select(F.col("id").alias("id_r"), F.col("s").alias("s_r")), "id_r"))

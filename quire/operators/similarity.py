@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +28,12 @@ def rare_first(sets: DataFrame, id: str, members: str) -> DataFrame:
                          F.transform("_a", lambda x: x["f"]).alias("freqs"))
 
 
-def block_pairs(records: DataFrame, threshold: float, small_block: int = 100) -> DataFrame:
+def block_pairs(records: DataFrame, threshold: float) -> DataFrame:
     """(id_l, id_r, similarity) for records sharing a block key with token Jaccard >= ``threshold`` > 0.
 
     ``records`` has ``id``, ``keys`` (array) and ``tokens`` (array). Exact copies (same keys and
     tokens) are paired with their smallest id only, and only that one meets other records, so a
-    group of copies costs one row each. In a block of at most ``small_block`` records the records
-    meet on the key. In a larger one they meet on (key, rare token): by the prefix principle no
+    group of copies costs one row each. Records meet on (key, rare token): by the prefix principle no
     qualifying pair is missed, and a block that holds a third of the table is never enumerated.
     """
     if not 0 < threshold <= 1:
@@ -51,14 +48,10 @@ def block_pairs(records: DataFrame, threshold: float, small_block: int = 100) ->
     units = reps.select("id", "keys", "tokens", F.size("tokens").alias("n"))
     keyed = units.select("id", "n", F.explode("keys").alias("k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
-    placed = durable(keyed.join(sizes, "k").select("k", "id", "n", (F.col("size") > small_block).alias("hot")), "blocks")
-    hot = placed.where("hot")
-    meet = [_meet(placed.where("NOT hot"), ["k"], threshold)]
-    if not hot.isEmpty():
-        ordered = rare_first(units.join(hot.select("id").distinct(), "id", "left_semi"), "id", "tokens")
-        prefix = ordered.select("id", F.explode(F.slice("ordered", F.lit(1), prefix_length(F.size("ordered"), threshold))).alias("t"))
-        meet.append(_meet(durable(hot.join(prefix, "id"), "postings"), ["k", "t"], threshold))
-    met = reduce(DataFrame.unionByName, meet).distinct()
+    placed = keyed.join(sizes.select("k"), "k")
+    ordered = rare_first(units, "id", "tokens")
+    prefix = ordered.select("id", F.posexplode(F.slice("ordered", F.lit(1), prefix_length(F.size("ordered"), threshold))).alias("pos", "t"))
+    met = _meet(durable(placed.join(prefix, "id"), "postings"), ["k", "t"], threshold).distinct()
     tokens = units.select("id", "tokens")
     both = (met.join(tokens.select(F.col("id").alias("id_l"), F.col("tokens").alias("tokens_l")), "id_l")
             .join(tokens.select(F.col("id").alias("id_r"), F.col("tokens").alias("tokens_r")), "id_r"))
@@ -68,8 +61,12 @@ def block_pairs(records: DataFrame, threshold: float, small_block: int = 100) ->
 
 
 def _meet(posts: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """(id_l, id_r) of records in the same posting whose sizes allow the threshold."""
-    left = posts.select(*on, F.col("id").alias("id_l"), F.col("n").alias("n_l"))
-    right = posts.select(*on, F.col("id").alias("id_r"), F.col("n").alias("n_r"))
+    """(id_l, id_r) of records in the same posting whose sizes and places in it allow the threshold.
+
+    ``posts`` has ``id``, ``n`` members and the posting's ``pos`` in the record's order. At the first member that two records share, all
+    they share are at or behind it in both, so the shorter rest bounds their overlap. Both tests are part of the join.
+    """
+    side = lambda s: posts.select(*on, F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("pos")).alias(f"rest_{s}"))
     fits = F.least("n_l", "n_r") >= F.greatest("n_l", "n_r") * F.lit(threshold) - F.lit(1e-9)
-    return left.join(right, on).where((F.col("id_l") < F.col("id_r")) & fits).select("id_l", "id_r")
+    reach = F.least("rest_l", "rest_r") * F.lit(1 + threshold) >= (F.col("n_l") + F.col("n_r")) * F.lit(threshold) - F.lit(1e-9)
+    return side("l").join(side("r"), on).where((F.col("id_l") < F.col("id_r")) & fits & reach).select("id_l", "id_r")

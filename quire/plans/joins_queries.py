@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import tokens
 from quire.operators import joins as J
-from quire.operators.setops import first_per_key
 from quire.operators.similarity import block_pairs
 from quire.operators.vectors import centroids, query_corpus_cross as cross
 from quire.plans.registry import query, table
@@ -51,11 +50,11 @@ def left_semi(spark, sf):
 @query("self_join_pairs", """
 WITH r AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2)
 SELECT a.id AS id_l, b.id AS id_r FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.id < b.id
-WHERE split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2)""")
+WHERE split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2)
+UNION ALL SELECT id, p_partkey FROM part JOIN r USING (p_brand, p_name) WHERE p_partkey > id""")
 def self_join_pairs(spark, sf):
-    """Parts of one brand whose names share a word: same block, Jaccard of the two-word names at least 1/3."""
-    parts = first_per_key(table(spark, sf, "part").select("p_brand", "p_name", F.col("p_partkey").alias("id")), ["p_brand", "p_name"], ["id"])
-    records = parts.select("id", F.array("p_brand").alias("keys"), F.split("p_name", " ").alias("tokens"))
+    """Parts of one brand whose names share a word: same block, Jaccard of the two-word names at least 1/3. Parts of one name are tied to their first."""
+    records = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("keys"), F.split("p_name", " ").alias("tokens"))
     return block_pairs(records, 0.33).select("id_l", "id_r")
 
 
