@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -257,6 +258,41 @@ def reconcile_rules(pairs: DataFrame, target: str = "target", candidate: str = "
     return out.select(*pairs.columns, "degree", F.col("degree").isin("high", "medium").alias("reconciled"))
 
 
+def reconcile_names(names: DataFrame, id: str, name: str) -> DataFrame:
+    """(id, target, candidate_id, candidate, degree, reconciled): the best of all other names for each, by ``reconcile_rules``.
+
+    High comes before medium before low, then the smaller id; a name for which no other has a degree has null candidates and ``none``.
+    A degree depends on surname, forenames or initials, and years alone, so each rule is a key: the two smallest ids of every
+    key are found (two, as one may be the name itself), every name looks up its own keys, and no two names meet as a pair.
+    """
+    p = _name_parts(names.where(F.col(id).isNotNull() & F.col(name).isNotNull()).select(F.col(id).alias("id"), F.col(name).alias("name")), "name", "")
+    p = p.where((F.col("surname") != "") & (F.size("fore") > 0)).select(
+        "id", "surname", "fore", F.transform("fore", lambda x: F.substring(x, 1, 1)).alias("initials"), F.array_distinct("years").alias("years"),
+        F.exists("fore", lambda x: F.length(x) == 1).alias("short"))
+    p = durable(p, "name-parts")
+    dated = p.withColumn("year", F.explode("years"))
+
+    def look_up(asking: DataFrame, offered: DataFrame, keys: list[str], order: int) -> DataFrame:
+        first = Window.partitionBy(*keys).orderBy("other")
+        least = offered.select(*keys, F.col("id").alias("other")).distinct().withColumn("_n", F.row_number().over(first)).where("_n <= 2").drop("_n")
+        return asking.select("id", *keys).join(least, keys).where("id <> other").select("id", F.struct(F.lit(order).alias("order"), "other").alias("best"))
+
+    full, full_year, brief, brief_year = ["surname", "fore"], ["surname", "fore", "year"], ["surname", "initials"], ["surname", "initials", "year"]
+    undated = F.size("years") == 0
+    found = [look_up(dated.where("not short"), dated.where("not short"), full_year, 0),
+             look_up(p.where(~F.col("short") & undated), p.where("not short"), full, 1),
+             look_up(p.where(~F.col("short") & ~undated), p.where(~F.col("short") & undated), full, 1),
+             look_up(dated.where("short"), dated, brief_year, 1), look_up(dated.where("not short"), dated.where("short"), brief_year, 1),
+             look_up(p.where("short"), p, brief, 2), look_up(p.where("not short"), p.where("short"), brief, 2)]
+    best = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("best").alias("best"))
+    order = F.col("b.best.order")
+    degree = F.when(order == 0, "high").when(order == 1, "medium").when(order == 2, "low").otherwise("none")
+    out = names.select(F.col(id).alias("id"), F.col(name).alias("target")).alias("n").join(best.alias("b"), F.col("n.id") == F.col("b.id"), "left")
+    out = out.select("n.id", "n.target", F.col("b.best.other").alias("candidate_id"), degree.alias("degree"))
+    known = names.select(F.col(id).alias("candidate_id"), F.col(name).alias("candidate"))
+    return out.join(known, "candidate_id", "left").select("id", "target", "candidate_id", "candidate", "degree", F.col("degree").isin("high", "medium").alias("reconciled"))
+
+
 def reconcile_record(hits: DataFrame) -> DataFrame:
     """One record per target: ``query_id, label, reconciled_labels[], candidates[]``.
 

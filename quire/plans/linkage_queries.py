@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from quire.operators import fellegi_sunter
 from quire.operators import linkage as L
 from quire.operators.components import cluster_pairs as cluster, cluster_refine as refine
-from quire.operators.setops import first_per_key
 from quire.operators.vectors import centroids, knn_exact
 from quire.functions.vectors import l2_normalize
 from quire.plans.fixtures import LABELS_SQL, PERSON_NAMES_SQL, labels_combined, person_names
@@ -274,21 +273,19 @@ def _parts_sql(c, s):
   list_filter(string_split_regex(lower(regexp_extract({bare}, '^[^,]*,([^,]*)', 1)), '\s+'), lambda x: x <> '') AS fore_{s}, regexp_extract_all({c}, '\b(\d{{4}})\b', 1) AS years_{s}"""
 
 
-_RULES_SQL = rf"""{PERSON_NAMES_SQL}, firsts AS (SELECT split_part(name, ',', 1) AS s, min(id) AS first_id FROM person_names GROUP BY 1),
-np AS (SELECT p.id, p.name AS target, f.id AS candidate_id, f.name AS candidate FROM person_names p JOIN firsts ON split_part(p.name, ',', 1) = s JOIN person_names f ON f.id = first_id WHERE p.id <> f.id),
+_RULES_SQL = rf"""{PERSON_NAMES_SQL}, np AS (SELECT p.id, p.name AS target, f.id AS candidate_id, f.name AS candidate FROM person_names p JOIN person_names f ON split_part(p.name, ',', 1) = split_part(f.name, ',', 1) AND p.id <> f.id),
 q AS (SELECT *, {_parts_sql('target', 't')}, {_parts_sql('candidate', 'c')} FROM np),
 z AS (SELECT *, len(list_intersect(years_t, years_c)) > 0 AS shared, len(years_t) = 0 OR len(years_c) = 0 AS undated,
    len(list_filter(fore_t, lambda x: length(x) = 1)) > 0 OR len(list_filter(fore_c, lambda x: length(x) = 1)) > 0 AS short, list_transform(fore_t, lambda x: x[1]) = list_transform(fore_c, lambda x: x[1]) AS ini FROM q),
-graded AS (SELECT id, target, candidate_id, candidate, CASE WHEN surname_t <> surname_c OR surname_t = '' OR len(fore_t) = 0 OR len(fore_c) = 0 THEN 'none' WHEN fore_t = fore_c AND NOT short THEN CASE WHEN shared THEN 'high' WHEN undated THEN 'medium' ELSE 'none' END
-  WHEN ini AND short THEN CASE WHEN shared THEN 'medium' ELSE 'low' END ELSE 'none' END AS degree FROM z)"""
+judged AS (SELECT id, target, candidate_id, candidate, CASE WHEN surname_t <> surname_c OR surname_t = '' OR len(fore_t) = 0 OR len(fore_c) = 0 THEN 'none' WHEN fore_t = fore_c AND NOT short THEN CASE WHEN shared THEN 'high' WHEN undated THEN 'medium' ELSE 'none' END
+  WHEN ini AND short THEN CASE WHEN shared THEN 'medium' ELSE 'low' END ELSE 'none' END AS degree FROM z),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE degree WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, candidate_id) AS rn FROM judged WHERE degree <> 'none') WHERE rn = 1),
+graded AS (SELECT p.id, p.name AS target, candidate_id, candidate, coalesce(degree, 'none') AS degree FROM person_names p LEFT JOIN best ON p.id = best.id)"""
 
 
 def _graded(spark, sf):
-    """Every name against the first one with the same surname: one pair per name, not all pairs of a surname."""
-    names = person_names(spark, sf).withColumn("s", F.split("name", ",")[0])
-    firsts = first_per_key(names, ["s"], ["id"]).select("s", F.col("id").alias("candidate_id"), F.col("name").alias("candidate"))
-    pairs = names.join(firsts, "s").where("id <> candidate_id").select("id", F.col("name").alias("target"), "candidate_id", "candidate")
-    return L.reconcile_rules(pairs)
+    """Every name with the best of all others."""
+    return L.reconcile_names(person_names(spark, sf), "id", "name")
 
 
 @query("reconcile_rules", f"WITH {_RULES_SQL} SELECT id, target, candidate_id, candidate, degree, degree IN ('high', 'medium') AS reconciled FROM graded")
