@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.constants import STOP_WORDS
 from quire.operators import aggregates as A
+from quire.operators import language as LG
 from quire.operators import components as C
 from quire.operators import linkage as L
-from quire.operators import text as T
 from quire.operators import vectors as V
 from quire.operators import windows as W
 from quire.operators.chunking import split_text
@@ -211,11 +211,11 @@ def test_language_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     train = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     rest = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
-    model = T.fit_language_model(train, "text", "lang")
-    scored = T.language_id(rest, "text", model)
+    model = LG.fit_language_profiles(train, "text", "lang")
+    scored = LG.language_id(rest, "text", model)
     assert scored.where("language = lang").count() / scored.count() >= 0.9
     short = spark.createDataFrame([("ab",), (None,)], "text string")
-    assert {r.language for r in T.language_id(short, "text", model).collect()} == {"unknown"}
+    assert {r.language for r in LG.language_id(short, "text", model).collect()} == {"unknown"}
 
 
 def test_stop_words_are_the_published_list(spark):
