@@ -48,7 +48,7 @@ def _id_blocks(path: str, end_id: int, block_tokens: int):
             block, start, ids, docs, held = block + 1, start + held, [], [], 0
             return row
 
-        for part in W.slices(batches, size=1 << 20):
+        for part in W.slices(batches, size=1 << 19):
             found, bounds = encoding.with_end(*enc.encode(part.column(1)), end_id)
             for doc, a, b in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 ids.append(found[a:b])
