@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 16  # of a hashed 3-gram
-SLICE = 2_000  # texts scored at once
+SLICE_BYTES = 1 << 20  # of text counted or scored at once, or one text
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,16 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[whole[:-2]], np.concatenate([[0], np.cumsum(whole)])[offsets]
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int]]:
+    """(first row, row behind the last) of stretches with at most ``SLICE_BYTES`` of column ``at``, or one row."""
+    offsets = np.frombuffer(batch.column(at).buffers()[1], dtype=np.int32, count=batch.num_rows + 1, offset=4 * batch.column(at).offset).astype(np.int64) if batch.num_rows else np.zeros(1)
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        yield first, end
+        first = end
+
+
 def _padded(text: str) -> Column:
     return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
 
@@ -48,12 +58,14 @@ def fit_language_profiles(labelled: DataFrame, text: str, lang: str) -> Language
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
-            grams, bounds = _grams(batch.column(1))
-            owner = np.repeat(names, np.diff(bounds))
-            for name in set(names.tolist()):
-                mine = np.bincount(grams[owner == name], minlength=1 << BITS)
-                total[name] = total[name] + mine if name in total else mine
+            for first, end in _slices(batch, 1):
+                part = batch.slice(first, end - first)
+                names, own = np.unique(np.array(part.column(0).to_pylist(), dtype=str), return_inverse=True)
+                grams, bounds = _grams(part.column(1))
+                owner = np.repeat(own.astype(np.int32), np.diff(bounds))
+                for i, name in enumerate(names.tolist()):
+                    mine = np.bincount(grams[owner == i], minlength=1 << BITS)
+                    total[name] = total[name] + mine if name in total else mine
         for name, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["lang", "gram", "n"])
@@ -76,8 +88,8 @@ def language_id(df: DataFrame, text: str, profiles: LanguageProfiles, min_chars:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for first, end in _slices(batch, len(names)):
+                part = batch.slice(first, end - first)
                 grams, bounds = _grams(part.column(len(names)))
                 best = np.full(part.num_rows, len(languages) - 1)
                 if len(weights):
