@@ -14,6 +14,7 @@ from quire import constants as K
 from quire.functions import scalars as S
 from quire.functions import text as X
 from quire.operators.setops import first_per_key
+from quire.runtime import durable
 
 
 def text_stats(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -144,11 +145,12 @@ def _letters(text: str) -> Column:
 def spell_ratio(df: DataFrame, id: str, text: str, dictionary: DataFrame, k: int = 10) -> DataFrame:
     """(id, ratio, top_misspelled): share of words outside the dictionary (column ``word``), and the k most frequent of them.
 
-    Words are counted per record first, so the join sees each (record, word) once. A record without
-    words has ratio 0.
+    Texts are dealt by record and words counted there; where the written dictionary is small enough for Spark to
+    broadcast, nothing else is shuffled. A record without words has ratio 0.
     """
-    counts = (df.select(id, F.explode_outer(_letters(text)).alias("word")).groupBy(id, "word").agg(F.count("word").alias("n")))
-    known = dictionary.select("word", F.lit(True).alias("_known")).distinct()
+    dealt = df.select(id, text).repartition(F.col(id))
+    counts = dealt.select(id, F.explode_outer(_letters(text)).alias("word")).groupBy(id, "word").agg(F.count("word").alias("n"))
+    known = durable(dictionary.select("word", F.lit(True).alias("_known")).distinct(), "dictionary")
     judged = counts.join(known, "word", "left").withColumn("_bad", F.col("word").isNotNull() & F.col("_known").isNull())
     ratio = judged.groupBy(id).agg(F.coalesce(F.try_divide(
         F.sum(F.when(F.col("_bad"), F.col("n")).otherwise(0)).cast("double"), F.sum("n")), F.lit(0.0)).alias("ratio"))
