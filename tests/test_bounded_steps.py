@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import ann, language, metric
+from quire.operators import ann, language, metric, similarity
+from quire.operators import text as T
 
 
 def test_language_slices_follow_bytes():
@@ -36,3 +37,17 @@ def test_ann_sample_is_the_sorted_limit(spark):
     own, gap = ann.nearest(x, centres)
     full = ((x[:, None] - centres) ** 2).sum(axis=2)
     assert (own == full.argmin(axis=1)).all() and np.allclose(gap, full.min(axis=1))
+
+
+def test_only_shared_runs_are_ordered(spark):
+    sets = spark.createDataFrame([(1, ["a", "b", "own1"]), (2, ["b", "c"]), (3, ["a", "b", "own3"]), (4, ["own4"])], "id long, s array<string>")
+    got = {r["id"]: r["ordered"] for r in similarity.rare_first(sets, "id", "s").collect()}
+    assert got == {1: ["a", "b"], 2: ["b"], 3: ["a", "b"]}
+
+
+def test_spell_ratio_shuffles_texts_only_by_record(spark):
+    docs = spark.createDataFrame([(1, "good bad bad wurst"), (2, None), (3, ""), (1, "wurst"), (None, "good x")], "id long, text string")
+    words = spark.createDataFrame([("good",), ("good",)], "word string")
+    out = T.spell_ratio(docs, "id", "text", words)
+    assert {tuple(r) for r in out.collect()} == {(1, 0.8, "bad,wurst"), (2, 0.0, ""), (3, 0.0, ""), (None, 0.5, "")}
+    assert ", word" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
