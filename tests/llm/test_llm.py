@@ -390,6 +390,23 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity_scores(docs, marked.where("false")).count() == len(rows) + 3
 
 
+def test_toxicity_is_fitted_on_all_labelled_rows(spark):
+    """Long texts count as a whole, rows of any number are all dealt once, and the blocks do not depend on how rows lie."""
+    long = " ".join(f"w{i}" for i in range(6_000))
+    block, = toxicity.training_blocks(made(spark, [(1, long, "s"), (2, long + " end", "s")]), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")).collect()
+    assert sorted(np.frombuffer(block["lengths"], "<i8").tolist()) == [6_000, 6_001]
+    rows = [(d, None if d % 50 == 0 else f"some words {d % 7}", "s") for d in range(9_000)] + [(None, "x", "s"), (3, "again", "s")]
+    marked = spark.createDataFrame([(d, d % 2) for d in range(9_000)] + [(4, 1), (None, 1)], "doc_id long, toxic int")
+    used = [d for d, *_ in rows if d is not None and B.crc(str(d).encode()) % 5]
+    seen = []
+    for docs in (made(spark, rows).repartition(2), made(spark, rows).repartition(5)):
+        blocks = toxicity.training_blocks(docs, marked, 20_000).orderBy("part").collect()
+        assert len(blocks) > 3 and sum(len(b["lengths"]) // 8 for b in blocks) == len(used)
+        assert sum(sum(b["toxic"]) for b in blocks) == sum(d % 2 or d == 4 for d in used)
+        seen.append(blocks)
+    assert seen[0] == seen[1]
+
+
 def test_scores_do_not_see_labels_lang_or_order(spark):
     import pyarrow as pa
     words, first = toxicity.hashed_words(pa.array(["good Day, good-day", None, "", "x"]))
