@@ -57,3 +57,36 @@ def test_refine_leaves_out_links_that_cannot_merge(spark, monkeypatch):
     got = components.cluster_refine(scored, spark.range(5), 0.85).collect()
     assert sorted(map(tuple, got)) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
     assert written[0] == 8 and written[1] == 4 and written[-1] <= 1  # all, those within components, what is left
+
+
+def test_carried_columns_are_those_of_both_records(spark):
+    rows = [(i, k, t, f"name {i}", None if i == 7 else "x") for i, k, t in {r[0]: r for r in _rows()}.values() if i is not None]
+    schema = "id long, keys array<string>, tokens array<string>, name string, type string"
+    got = block_pairs(spark.createDataFrame(rows, schema), 0.5, direct=5, carry=("name", "type")).collect()
+    plain = block_pairs(spark.createDataFrame(rows, schema), 0.5, direct=5).collect()
+    assert sorted(r[:3] for r in map(tuple, got)) == sorted(map(tuple, plain))
+    of = {r[0]: r for r in rows}
+    assert all((r.name_l, r.type_l, r.name_r, r.type_r) == (*of[r.id_l][3:], *of[r.id_r][3:]) for r in got)
+
+
+def test_pair_features_look_nothing_up_after_the_pairs(spark):
+    from quire.plans.linkage_queries import _features
+    plan = _features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("pairs_at_once", [1, 50, 500_000])
+def test_clusters_are_written_as_stars(spark, monkeypatch, pairs_at_once):
+    written = {}
+
+    def counted(df, label="stage"):
+        out = durable(df, label)
+        written.setdefault(label, out.count())
+        return out
+    monkeypatch.setattr(components, "durable", counted)
+    monkeypatch.setattr(components, "PAIRS", pairs_at_once)
+    pairs = [(10 * g + i, 10 * g + j, 0.5 + (i + j) / 100) for g in range(20) for i in range(10) for j in range(i + 1, 10)] + [(5, 15, 0.39), (None, 300, 0.9), (301, None, 0.8), (302, 303, None)]
+    got = components.cluster_pairs(spark.createDataFrame(pairs, "id_l long, id_r long, score double").coalesce(1), 0.4).collect()
+    want = [(10 * g + i, 10 * g, 0.5 + (i + 9 if i < 9 else 17) / 100) for g in range(20) for i in range(10)] + [(300, 300, 0.9), (301, 301, 0.8)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert pairs_at_once < 500_000 or written == {"stars": 202, "edges": 202}
