@@ -407,6 +407,30 @@ def test_toxicity_is_fitted_on_all_labelled_rows(spark):
     assert seen[0] == seen[1]
 
 
+def test_workers_hold_little_beside_their_rows():
+    """What the encoder keeps of a piece is bounded in bytes, and the binary values of a block's row are not copied."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quire.llm import encoding
+    letters = np.array(list("abcdefghij"))
+    texts = [" ".join("".join(letters[list(map(int, str(1_000_000 + 7 * i + j)))]) for i in range(d * 4_000, d * 4_000 + 1_000) for j in range(7)) for d in range(60)]
+    encode = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    table = pa.table({"draw": pa.array(range(60)), "text": texts, "lang": ["en"] * 60, "toxic": pa.array([0, 1] * 30, pa.int32()), "part": pa.array([0] * 60, pa.int32())})
+    block = toxicity._block(table)
+    row, = toxicity._rows(iter(block.to_batches()))
+    assert all(np.frombuffer(row[c], "u1").ctypes.data == block.column(c).chunk(0)[0].as_buffer().address for c in ("lengths", "known", "numbers"))
+    tracemalloc.start()
+    try:
+        for text in texts[:20]:
+            encode.encode(pa.array([text]))
+        assert tracemalloc.get_traced_memory()[0] < 90 * 20 * 7_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_do_not_see_labels_lang_or_order(spark):
     import pyarrow as pa
     words, first = toxicity.hashed_words(pa.array(["good Day, good-day", None, "", "x"]))
