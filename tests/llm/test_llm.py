@@ -420,8 +420,11 @@ def test_workers_hold_little_beside_their_rows():
     encode = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     table = pa.table({"draw": pa.array(range(60)), "text": texts, "lang": ["en"] * 60, "toxic": pa.array([0, 1] * 30, pa.int32()), "part": pa.array([0] * 60, pa.int32())})
     block = toxicity._block(table)
-    row, = toxicity._rows(iter(block.to_batches()))
-    assert all(np.frombuffer(row[c], "u1").ctypes.data == block.column(c).chunk(0)[0].as_buffer().address for c in ("lengths", "known", "numbers"))
+    two = pa.concat_tables([block, block]).combine_chunks().to_batches()[0].slice(1)
+    row, = toxicity._rows([two])
+    for c in ("lengths", "known", "numbers"):
+        own = two.column(c).buffers()[2]
+        assert own.address <= row[c].address < own.address + own.size and bytes(row[c]) == block.column(c)[0].as_py()
     tracemalloc.start()
     try:
         for text in texts[:20]:
