@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from quire import constants as K
 from quire.functions import scalars as S
 from quire.functions import text as X
 from quire.operators.setops import first_per_key
+from quire.operators.word2vec import fit_mean_vectors
 from quire.runtime import durable
 
 
@@ -212,10 +213,10 @@ def word2vec_doc_vectors(df: DataFrame, tokens: str, size: int = 100, min_count:
 
     ``partitions`` is the trainer's parallelism, by default one per core; fix it for a repeatable model.
     """
+    df = df.withColumn("_row", F.monotonically_increasing_id()).transform(durable, "records")
     partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
-                     inputCol=tokens, outputCol="_v").fit(df)
-    return model.transform(df).withColumn(out, vector_to_array("_v", "float32")).drop("_v")
+    means = fit_mean_vectors(df, "_row", tokens, size, min_count, seed, partitions, out)
+    return df.join(means, "_row").drop("_row")
 
 
 def kmeans_segments(df: DataFrame, vec: str, k: int = 5, seed: int = 42) -> DataFrame:
