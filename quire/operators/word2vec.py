@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import discard, durable
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21  # the more, the fewer blocks that a word's vector is sent from and to
 SENTENCE = 1000         # known words after which a text is cut; windows do not reach over a cut
 WINDOW = 5
 RATE = 0.025
@@ -66,7 +66,7 @@ def token_blocks(df: DataFrame, row: str, tokens: str, partitions: int, block_to
     Records are dealt by what they hold (all columns but ``row``, a number), so equal tables give equal blocks.
     """
     total = df.agg(F.sum(F.greatest(F.size(tokens), F.lit(0)).cast("long"))).first()[0] or 0
-    parts = max(partitions, -(-total // block_tokens))
+    parts = max(partitions, -(-5 * total // (4 * block_tokens)))  # a part is somewhat less than a block, else most would make two
     dealt = df.select(row, tokens, F.xxhash64(*[c for c in df.columns if c != row]).alias("deal"))
     return durable(dealt.repartition(parts, "deal").sortWithinPartitions("deal", row).select(row, tokens).mapInArrow(_blocks(block_tokens), _BLOCKS), "token-blocks")
 
@@ -116,8 +116,9 @@ def huffman(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def paths(places: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the word, place of an inner node above it, bit of the step below that node), by word."""
     first, origin, base = tree
-    own, at = np.arange(len(places)), places.astype(np.int64)
-    out = [(own[:0], at[:0], at[:0])]
+    own, at = np.arange(len(places), dtype=np.int32), places.astype(np.int64)
+    kind = np.int32 if root < 1 << 31 else np.int64
+    out = [(own[:0], at[:0].astype(kind), at[:0].astype(np.int8))]
     while True:
         below = at < root
         own, at = own[below], at[below]
@@ -126,8 +127,9 @@ def paths(places: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], r
         stretch = np.searchsorted(first, at, "right") - 1
         up, bit = np.divmod(at - origin[stretch], 2)
         at = base[stretch] + up
-        out.append((own, at, bit))
+        out.append((own, at.astype(kind), bit.astype(np.int8)))
     own, node, bit = (np.concatenate(x) for x in zip(*out))
+    del out
     order = np.argsort(own, kind="stable")
     return own[order], node[order], bit[order]
 
@@ -146,7 +148,7 @@ def start_vectors(keys: np.ndarray, size: int) -> np.ndarray:
 def train(tokens: np.ndarray, sentence: np.ndarray, vectors: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray], seed) -> np.ndarray:
     """Fit ``vectors`` of the words on a text of word numbers; the number of steps that each word made."""
     own, node, bit = path
-    _, node = np.unique(node, return_inverse=True)
+    node = np.unique(node, return_inverse=True)[1].astype(np.int32)
     first = np.searchsorted(own, np.arange(len(vectors) + 1))
     up = (1 - bit).astype(np.float32)
     inner = np.zeros((node.max(initial=-1) + 1, vectors.shape[1]), dtype=np.float32)
