@@ -213,10 +213,11 @@ def word2vec_doc_vectors(df: DataFrame, tokens: str, size: int = 100, min_count:
 
     ``partitions`` is the trainer's parallelism, by default one per core; fix it for a repeatable model.
     """
-    df = df.withColumn("_row", F.monotonically_increasing_id()).transform(durable, "records")
+    row = max(df.columns, key=len) + "_row"  # longer than any, so free
+    df = df.withColumn(row, F.monotonically_increasing_id()).transform(durable, "records")
     partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    means = fit_mean_vectors(df, "_row", tokens, size, min_count, seed, partitions, out)
-    return df.join(means, "_row").drop("_row")
+    means = fit_mean_vectors(df, row, tokens, size, min_count, seed, partitions, out)
+    return df.drop(out).join(means, row).drop(row)
 
 
 def kmeans_segments(df: DataFrame, vec: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -63,11 +63,11 @@ def _blocks(block_tokens: int):
 def token_blocks(df: DataFrame, row: str, tokens: str, partitions: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """All records in blocks of at most ``block_tokens`` tokens, or one record: their words, and their tokens as numbers of these.
 
-    Records are dealt by what they hold (all columns but ``row``, a number), so equal tables give equal blocks.
+    Records are dealt by what they hold (all columns but maps and ``row``, a number), so equal tables give equal blocks.
     """
     total = df.agg(F.sum(F.greatest(F.size(tokens), F.lit(0)).cast("long"))).first()[0] or 0
     parts = max(partitions, -(-5 * total // (4 * block_tokens)))  # a part is somewhat less than a block, else most would make two
-    dealt = df.select(row, tokens, F.xxhash64(*[c for c in df.columns if c != row]).alias("deal"))
+    dealt = df.select(row, tokens, F.xxhash64(*[c for c, kind in df.dtypes if c != row and "map<" not in kind]).alias("deal"))
     return durable(dealt.repartition(parts, "deal").sortWithinPartitions("deal", row).select(row, tokens).mapInArrow(_blocks(block_tokens), _BLOCKS), "token-blocks")
 
 

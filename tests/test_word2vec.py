@@ -43,6 +43,13 @@ def _two_topics(spark, words):
     return spark.createDataFrame(rows + [(1000, []), (1001, None), (1002, ["never"]), (1003, []), (1003, [])], "id long, tokens array<string>")
 
 
+def test_columns_of_any_name_and_kind(spark):
+    df = _two_topics(spark, 30).selectExpr("*", "map('k', id) AS pairs", "0 AS embedding", "id AS _row")
+    got = T.word2vec_doc_vectors(df, "tokens", size=4, partitions=2)
+    assert got.columns == ["id", "tokens", "pairs", "_row", "embedding"]
+    assert sorted((r["id"], r["pairs"]["k"], r["_row"], len(r["embedding"])) for r in got.collect()) == sorted((r["id"], r["id"], r["id"], 4) for r in df.collect())
+
+
 def test_records_of_a_topic_lie_together(spark):
     df = _two_topics(spark, 30)
     got = T.word2vec_doc_vectors(df, "tokens", size=20, partitions=2)
