@@ -106,12 +106,12 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     confirm = confirm or (lambda pairs: pairs)
     masks = _masks(radii, bits)
     keys = _bucket_rows(nodes.select("id", "sigs"), masks)
-    sizes = durable(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "covering-sizes")
+    sizes = durable(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "covering-sizes", few=True)
     central = keys.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))  # ids that share no bucket end here
     central = durable(nodes.select("id", "sigs").join(central, "id"), "covering-central")
     keys = _bucket_rows(central, masks)
     lead = keys.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "id"))["id"].alias("lead"), F.count("*").alias("n")).where("n > 1")
-    lead = durable(lead, "covering-leads")  # so that the join deals both sides itself and can split a hot bucket
+    lead = durable(lead, "covering-leads", few=True)  # so that the join deals both sides itself and can split a hot bucket
     keys = keys.drop("weight")
     met = durable(keys.join(lead, "bucket"), "covering-buckets")
     pairs = met.where("id <> lead").select(F.least("lead", "id").alias("id_l"), F.greatest("lead", "id").alias("id_r")).distinct()
@@ -131,8 +131,8 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     slim = nodes.drop("few")
     near = durable(pairs.join(slim.alias("a"), F.col("id_l") == F.col("a.id"))
                    .join(slim.alias("b"), [F.col("id_r") == F.col("b.id"), gap <= 0, alike("a", "b")])
-                   .select("id_l", "id_r"), "covering-near")
-    links = durable(confirm(near).select("id_l", "id_r"), "covering-links")
+                   .select("id_l", "id_r"), "covering-near", few=True)
+    links = durable(confirm(near).select("id_l", "id_r"), "covering-links", few=True)
     groups = components(links)
 
     # buckets that hold several components, and their members by component; a bucket of two has met already
@@ -143,7 +143,7 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     held = durable(open_.groupBy("bucket", "canon_id").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("part").alias("part"), F.first("mask").alias("mask")), "covering-components")
     several = durable(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "covering-several")
     signed_ = lambda rows: rows.join(nodes, "id").withColumn("sig", F.expr("sigs[part]")).drop("sigs", "part")
-    ones = durable(signed_(held.where("m = 1").join(several, "bucket")), "covering-ones")
+    ones = durable(signed_(held.where("m = 1").join(several, "bucket")), "covering-ones", few=True)
 
     def within(a: str, b: str) -> Column:
         """All bounds hold, and of the masks under which the two agree in this part, this bucket's is the first: a pair is met once a part."""
@@ -163,14 +163,14 @@ def covered_components(nodes: DataFrame, radii: list[int], bits: int = 64, wide_
     facing = durable(some.alias("a").join(some.where("m > 1").alias("b"), [F.col("a.bucket") == F.col("b.bucket"), size("a") < size("b")])
                      .select("a.bucket", F.col("a.canon_id").alias("small"), F.col("b.canon_id").alias("large")), "covering-facing")
     wanted = facing.select("bucket", F.col("small").alias("canon_id")).unionByName(facing.select("bucket", F.col("large").alias("canon_id"))).distinct()
-    members = durable(signed_(open_.join(wanted, ["bucket", "canon_id"])), "covering-members")
+    members = durable(signed_(open_.join(wanted, ["bucket", "canon_id"])), "covering-members", few=True)
     left = facing.alias("p").join(members.alias("m"), [F.col("p.bucket") == F.col("m.bucket"), F.col("p.small") == F.col("m.canon_id")]) \
         .select("p.bucket", "p.large", "m.id", "m.sig", "m.mask", "m.wide", "m.slack", "m.n", "m.few")
     crossed = (left.alias("l").join(members.alias("m"), [F.col("l.bucket") == F.col("m.bucket"), F.col("l.large") == F.col("m.canon_id"), within("l", "m")])
                .select(F.col("l.id").alias("id_a"), F.col("m.id").alias("id_b")))
     crossed = alone.unionByName(crossed).select(F.least("id_a", "id_b").alias("id_l"), F.greatest("id_a", "id_b").alias("id_r")).distinct()
-    crossed = durable(crossed.join(near, ["id_l", "id_r"], "left_anti"), "covering-near")
-    more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links")
+    crossed = durable(crossed.join(near, ["id_l", "id_r"], "left_anti"), "covering-near", few=True)
+    more = durable(confirm(crossed).select("id_l", "id_r"), "covering-links", few=True)
     discard(lead, near, open_, held, several, ones, facing, members, crossed)
     if more.isEmpty():
         discard(links, more)
@@ -295,34 +295,29 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = 0.8, shingle_words
     Null and empty texts are equal texts. Rows that repeat id and text cannot be told apart: all carry the flag of the first.
     """
     source = _keyed(docs, id_col, text_col)
-    rows = durable(source.mapInArrow(lambda b: _signatures(b, shingle_words), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int, n int, few array<int>"), "dedup-rows")
-    units = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack"), F.first("n").alias("n"), F.first("few").alias("few")), "dedup-unit-rows")
-    # a unit's number: its smallest id, or where all ids are null or the id belongs to several texts, one from the text
-    shared = units.groupBy("least").agg(F.count("*").alias("several")).where("several > 1 or least is null or least < 0")
-    raw = units
-    units = units.alias("u").join(shared.alias("c"), F.col("u.least").eqNullSafe(F.col("c.least")), "left").select(
-        "u.*", F.when(F.col("n").isNull(), F.col("u.least")).otherwise(-1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))).alias("unit"))
-    units = durable(units, "dedup-units")
-    discard(raw)
+    rows = source.mapInArrow(lambda b: W.tidied(_signatures(b, shingle_words)), "doc_id long, text_key string, sigs array<long>, wide array<long>, slack int, n int, few array<int>")
+    units = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("wide").alias("wide"), F.first("slack").alias("slack"), F.first("n").alias("n"), F.first("few").alias("few"))
+    # a unit's number comes from the text alone: ids may be null or belong to several texts
+    units = durable(units.withColumn("unit", -1 - F.pmod(F.xxhash64("text_key"), F.lit((1 << 62) - 1))), "dedup-units")
     nodes = units.where(F.size("sigs") > 0).select(F.col("unit").alias("id"), "sigs", "wide", "slack", "n", "few")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("id_l").alias("unit")).unionByName(pairs.select(F.col("id_r").alias("unit"))).distinct()
         wanted = wanted.join(units, "unit").select("unit", "text_key", "least")
-        wanted = _checked(durable(wanted, "dedup-wanted"))
+        wanted = _checked(durable(wanted, "dedup-wanted", few=True))
         texts = source.alias("s").join(wanted.alias("w"), [F.col("s.text_key") == F.col("w.text_key"), F.col("s.doc_id").eqNullSafe(F.col("w.least"))]) \
             .select("w.unit", "s.text")
-        sets = durable(texts.mapInArrow(lambda b: _shingle_sets(b, shingle_words), "id long, grams binary").dropDuplicates(["id"]), "dedup-sets")
+        sets = durable(texts.mapInArrow(lambda b: W.tidied(_shingle_sets(b, shingle_words)), "id long, grams binary").dropDuplicates(["id"]), "dedup-sets")
         both = (pairs.join(sets.select(F.col("id").alias("id_l"), F.col("grams").alias("grams_l")), "id_l")
                 .join(sets.select(F.col("id").alias("id_r"), F.col("grams").alias("grams_r")), "id_r").select("id_l", "id_r", "grams_l", "grams_r"))
-        return both.mapInArrow(lambda b: _similar(b, threshold), "id_l long, id_r long")
+        return both.mapInArrow(lambda b: W.tidied(_similar(b, threshold)), "id_l long, id_r long")
 
     groups = covered_components(nodes, [RADIUS] + PARTS * [0], 64, _wide_radius(threshold), threshold, confirm)
     named = units.alias("u").join(groups.alias("g"), F.col("u.unit") == F.col("g.id"), "left") \
         .select("text_key", "least", F.coalesce("canon_id", "unit").alias("group_id"))
     first = named.groupBy("group_id").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "text_key")).alias("first"))
     marked = named.join(first, "group_id").select("text_key", "least", "group_id", (F.col("text_key") == F.col("first.text_key")).alias("one"))
-    return rows.select("doc_id", "text_key").alias("s").join(marked.alias("m"), F.col("s.text_key") == F.col("m.text_key")).select(
+    return source.select("doc_id", "text_key").alias("s").join(marked.alias("m"), F.col("s.text_key") == F.col("m.text_key")).select(
         "s.doc_id", "s.text_key", "group_id", (F.col("one") & F.col("s.doc_id").eqNullSafe(F.col("least"))).alias("keeper"))
 
 
@@ -343,7 +338,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle_words:
     Of rows that repeat id and text any one stays. An empty table gives an empty table. What goes is listed, and a
     list that is short enough is sent to the tasks, so that the texts need not be shuffled.
     """
-    groups = durable(near_duplicate_groups(docs, threshold, shingle_words, id_col, text_col), "dedup-groups")
+    groups = durable(near_duplicate_groups(docs, threshold, shingle_words, id_col, text_col), "dedup-groups", few=True)
     key = free_name(docs, "text_key")
     marked = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     listed = [F.col(f"d.{key}") == F.col("g.text_key"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.doc_id"))]
