@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from quire.operators import components
+from quire.operators import components, similarity
 from quire.operators.similarity import block_pairs
 from quire.runtime import durable
 
@@ -90,3 +90,27 @@ def test_clusters_are_written_as_stars(spark, monkeypatch, pairs_at_once):
     want = [(10 * g + i, 10 * g, 0.5 + (i + 9 if i < 9 else 17) / 100) for g in range(20) for i in range(10)] + [(300, 300, 0.9), (301, 301, 0.8)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert pairs_at_once < 500_000 or written == {"stars": 202, "edges": 202}
+
+
+@pytest.mark.parametrize("direct,page", [(0, 64), (5, 3), (1000, 1)])
+def test_every_copy_is_paired_as_any_record_is(spark, monkeypatch, direct, page):
+    monkeypatch.setattr(similarity, "PAGE", page)
+    rows = {r[0]: r for r in _rows() if r[0] is not None}
+    rows = [(i, k, t, f"name {i}") for i, k, t in rows.values()] + [(400 + i, *rows[3][1:], f"copy {i}") for i in range(9)] + [(None, *rows[3][1:], "none")]
+    got = block_pairs(spark.createDataFrame(rows, "id long, keys array<string>, tokens array<string>, name string"), 0.5, direct=direct, carry=("name",), every=True).collect()
+    want = []
+    for (i, k, t, x), (j, l, u, y) in combinations(sorted(r for r in rows if r[0] is not None), 2):
+        k, t, l, u = map(set, (k, t, l, u))
+        if t | u and k & l and len(t & u) / len(t | u) >= 0.5 - 1e-9:
+            want.append((i, j, len(t & u) / len(t | u), x, y))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_exact_ratios_of_all_copies(spark, tmp_path):
+    from quire.plans.linkage_queries import fuzz_ratio_exact
+    spark.createDataFrame([("blue gear", f"Brand#{i}") for i in range(2, 6)] + [("Blue gear", "Brand#2"), ("blue gears", "Brand#3"), ("red rod", "Brand#4")], "p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([("Customer#01", 1)], "c_name string, c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([("Supplier#01", 1)], "s_name string, s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(r["ratio"] for r in fuzz_ratio_exact(spark, str(tmp_path)).collect())
+    # of six records all 15 pairs: copies, one other capital letter, one letter more, both
+    assert got == sorted([100] * 6 + [89] * 4 + [95] * 4 + [84])
