@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from quire.runtime import durable, take_bounded
 
 MAX_QUERIES = 4096     # vectors sent to every task at most
 BLOCK_ROWS = 20_000    # corpus vectors per block beyond that
+MAX_HITS = 200_000     # found passages sent to the tasks at once, some 30 MB
 DECIMALS = 12          # scores are compared at this precision, so summation order cannot change a rank
 
 
@@ -289,9 +291,13 @@ def rag_context(queries: DataFrame, corpus: DataFrame, k: int = 50, sep: str = "
     """(query_id, context, citations): the top k passages of each query joined in rank order.
 
     ``corpus`` has ``corpus_id, vector, text``. ``search(queries, corpus, k)`` finds them, by default ``ann.knn_ann``: an exact
-    search would score every query against every passage.
+    search would score every query against every passage. Passages stay where they are: the hits go there in blocks of some ``MAX_HITS``,
+    and only lines that are found are shuffled.
     """
-    hits = (search or knn_ann)(queries, corpus.select("corpus_id", "vector"), k).join(corpus.select("corpus_id", "text"), "corpus_id")
+    found = durable((search or knn_ann)(queries, corpus.select("corpus_id", "vector"), k).select("query_id", "corpus_id", "rank"), "hits", few=True)
+    blocks, texts = max(1, -(-found.count() // MAX_HITS)), corpus.select("corpus_id", "text")
+    of_block = F.pmod(F.xxhash64("query_id", "corpus_id"), F.lit(blocks))
+    hits = reduce(DataFrame.unionByName, [texts.join(F.broadcast(found.where(of_block == block) if blocks > 1 else found), "corpus_id") for block in range(blocks)])
     lines = F.struct("rank", F.concat(F.lit("["), F.col("corpus_id").cast("string"), F.lit("] "), F.col("text")).alias("line"),
                      F.col("corpus_id").cast("string").alias("cite"))
     ranked = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(lines)).alias("_a"))   # k rows per query
