@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import components, similarity
 from quire.operators.similarity import block_pairs
@@ -114,3 +115,25 @@ def test_exact_ratios_of_all_copies(spark, tmp_path):
     got = sorted(r["ratio"] for r in fuzz_ratio_exact(spark, str(tmp_path)).collect())
     # of six records all 15 pairs: copies, one other capital letter, one letter more, both
     assert got == sorted([100] * 6 + [89] * 4 + [95] * 4 + [84])
+
+
+def test_scores_are_told_once_and_words_are_cut_per_record(spark, monkeypatch):
+    from quire.plans.linkage_queries import _scored
+    scored, plans = _scored(spark, "/root/testdata/sf0.001"), []
+    assert not any(f in scored._jdf.queryExecution().optimizedPlan().toString().split("Join")[0] for f in ("split(", "regexp_extract_all("))
+    monkeypatch.setattr(components, "durable", lambda df, label="stage": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or durable(df, label))
+    components.cluster_pairs(scored)
+    assert plans[0].count("levenshtein(") - plans[0].split("Join")[-1].count("levenshtein(") == 2  # of the pairs and of the copies, which are a union
+
+
+def test_features_are_those_of_carried_parts(spark):
+    from quire.operators.linkage import label_parts, pair_features
+    names = ["Smith, John, 1850-1900", "smith john 1850", "", "--", "Grey, Jane, b. 1900", "a a b"]
+    one = label_parts(spark.createDataFrame([(n, "x") for n in names], "label string, type string"))
+    side = lambda s, *cols: one.select(*[F.col(c).alias(f"{c}_{s}") for c in cols])
+    carried = pair_features(side("l", "label", "type", "words", "years").crossJoin(side("r", "label", "type", "words", "years")))
+    plain = pair_features(side("l", "label", "type").crossJoin(side("r", "label", "type")))
+    assert carried.columns == plain.columns
+    assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, plain.collect()))
+    found = {(r["label_l"], r["label_r"]): (r["token_jaccard"], r["shared_year"]) for r in plain.collect()}
+    assert found[names[0], names[1]] == (0.75, 1.0) and found["", "--"] == (0.0, 0.0) and found[names[0], names[4]] == (1 / 7, 1.0)
