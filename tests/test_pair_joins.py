@@ -117,9 +117,12 @@ def test_exact_ratios_of_all_copies(spark, tmp_path):
     assert got == sorted([100] * 6 + [89] * 4 + [95] * 4 + [84])
 
 
-def test_scores_are_told_once_and_words_are_cut_per_record(spark, monkeypatch):
+def test_scores_are_told_once_and_words_are_cut_per_record(spark, monkeypatch, tmp_path):
     from quire.plans.linkage_queries import _scored
-    scored, plans = _scored(spark, "/root/testdata/sf0.001"), []
+    spark.createDataFrame([("blue gear", "Brand#2"), ("blue gears", "Brand#3")], "p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([("Customer#01", 1), ("Customer#02", 2)], "c_name string, c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([("Supplier#01", 1)], "s_name string, s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    scored, plans = _scored(spark, str(tmp_path)), []
     assert not any(f in scored._jdf.queryExecution().optimizedPlan().toString().split("Join")[0] for f in ("split(", "regexp_extract_all("))
     monkeypatch.setattr(components, "durable", lambda df, label="stage": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or durable(df, label))
     components.cluster_pairs(scored)
